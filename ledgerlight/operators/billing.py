@@ -89,9 +89,14 @@ def resource_name(service: str, provider: Column | str, owner: Column | str, mod
 
 def resource_name_parts(df: DataFrame, column: str) -> DataFrame:
     """Six parts of every valid name; invalid names are left out."""
-    valid = df.where(F.col(column).rlike(RESOURCE_NAME))
-    return valid.select(*df.columns, *[
-        F.regexp_extract(column, RESOURCE_NAME, i + 1).alias(part) for i, part in enumerate(RESOURCE_PARTS)])
+    return split_name(df.where(F.col(column).rlike(RESOURCE_NAME)), column)
+
+
+def split_name(df: DataFrame, column: str) -> DataFrame:
+    """Parts of names known to be valid: only the last part may contain a colon."""
+    pieces = F.split(column, ":", 7)
+    return df.withColumn("_pieces", pieces).select(*df.columns, *[
+        F.col("_pieces")[i + 1].alias(part) for i, part in enumerate(RESOURCE_PARTS)])
 
 
 # ---- billing records -------------------------------------------------------
@@ -104,7 +109,7 @@ def billing_records(daily: DataFrame, service: str) -> DataFrame:
                        & F.col("prompt_tokens").isNotNull() & F.col("completion_tokens").isNotNull()
                        & F.col("spend").isNotNull())
     named = kept.withColumn("resource_id", resource_name(service, "custom_llm_provider", "team_id", "model"))
-    parts = resource_name_parts(named.where(F.col("resource_id").isNotNull()), "resource_id")
+    parts = split_name(named, "resource_id").where(F.col("resource_id").isNotNull())
     prefix = F.substring("api_key", 1, 8)
 
     def known(column: str) -> Column:

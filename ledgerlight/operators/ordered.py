@@ -60,23 +60,27 @@ def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: C
     return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, bucket, inclusive=True)
 
 
-def trailing_span(df: DataFrame, keys: Sequence[str], ts: str, seconds: int,
-                  aggregates: dict[str, Column]) -> DataFrame:
-    """Aggregates over the rows of the last *seconds* (inclusive) up to each row.
-
-    Buckets are as long as the span, so a row only ever needs its own bucket and
-    the one before; each row is therefore sent to two buckets and counted there,
-    and kept in one.
+def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, seconds: int,
+                   open_start: bool = False, name: str = "recent") -> DataFrame:
+    """Rows of the same key within the last *seconds* up to each row (the start belongs to the span
+    unless *open_start*).
+
+    A sliding frame would visit the whole span again for every row.  Instead each
+    row puts a marker at the start of its span on the time line; the count is the
+    running count at the row minus the running count at its marker.  Returns one
+    row per *row_id* with the keys, the time and the count.
     """
-    micros = epoch_micros(ts)
     span = seconds * 1_000_000
-    both = (df.withColumn("_at", micros)
-            .withColumn("_home", F.floor(F.col("_at") / F.lit(span)))
-            .withColumn("_bucket", F.explode(F.array(F.col("_home"), F.col("_home") + 1))))
-    window = Window.partitionBy(*keys, "_bucket").orderBy("_at").rangeBetween(-span, 0)
-    for name, agg in aggregates.items():
-        both = both.withColumn(name, agg.over(window))
-    return both.where(F.col("_bucket") == F.col("_home")).drop("_at", "_home", "_bucket")
+    marker_rank = 2 if open_start else 0
+    line = df.select(*keys, row_id, ts, F.explode(F.array(
+        F.struct(epoch_micros(ts).alias("at"), F.lit(1).alias("rank")),
+        F.struct((epoch_micros(ts) - span).alias("at"), F.lit(marker_rank).alias("rank")))).alias("e")).select(
+        *keys, row_id, ts, F.col("e.at").alias("_at"), F.col("e.rank").alias("_rank"))
+    is_row = F.col("_rank") == 1
+    counted = running_totals(line, keys, ["_at", "_rank", row_id], {"_c": F.when(is_row, 1).otherwise(0).cast("bigint")},
+                             F.floor(F.col("_at") / F.lit(86_400_000_000)), inclusive=True)
+    return counted.groupBy(*keys, row_id).agg(
+        F.max(ts).alias(ts), (F.max(F.when(is_row, F.col("_c"))) - F.max(F.when(~is_row, F.col("_c")))).alias(name))
 
 
 def trailing_rows(df: DataFrame, keys: Sequence[str], ordinal: str, rows: int,
