@@ -34,6 +34,10 @@ def matches_any(value: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def _some_tag(tags: Column, patterns: Sequence[str]) -> Column:
+    return F.coalesce(F.exists(tags, lambda t: matches_any(t, patterns)), F.lit(False))
+
+
 def matching_policies(attachments: Sequence[Attachment], team: Column, key: Column, model: Column,
                       tags: Column) -> Column:
     """Names of the policies whose scope fits, as an array.
@@ -45,7 +49,7 @@ def matching_policies(attachments: Sequence[Attachment], team: Column, key: Colu
     for a in attachments:
         hit = matches_any(team, a.teams) & matches_any(key, a.keys) & matches_any(model, a.models)
         if a.tags:
-            hit = hit & F.coalesce(F.exists(tags, lambda t, a=a: matches_any(t, a.tags)), F.lit(False))
+            hit = hit & _some_tag(tags, a.tags)
         tests.append(F.when(hit, F.lit(a.policy)))
     return F.array_compact(F.array(*tests))
 
