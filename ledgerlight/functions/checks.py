@@ -27,7 +27,7 @@ def digits_of(raw: Column) -> Column:
 def luhn(raw: Column) -> Column:
     """Card check: 13 to 19 digits with a valid Luhn sum."""
     digits = digits_of(raw)
-    return F.length(digits).between(13, 19) & F.coalesce(F.luhn_check(digits), F.lit(False))
+    return F.length(digits).between(13, 19) & F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
 
 
 def verhoeff(raw: Column) -> Column:

@@ -28,7 +28,7 @@ DENSITY_TERMS = ("ignore", "system", "developer", "assistant", "must", "never",
                  "secret", "exfiltrate", "override")
 NAMED_ENTITIES = {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "nbsp": " ", "quot": '"'}
 LEET_FROM, LEET_TO = "@403157", "aaoeist"
-ZERO_WIDTH = "[​-‏‪-‮⁠-⁯﻿]"
+ZERO_WIDTH = "[\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]"
 EXCERPT = 180
 
 _ZERO_WIDTH = re.compile(ZERO_WIDTH)
@@ -118,7 +118,7 @@ def _gateway_base64(match: re.Match) -> str:
 
 def gateway_profile(text: str | None) -> str:
     out = unicodedata.normalize("NFKC", _ENTITY.sub(_entity, text or ""))
-    out = re.sub(r"[\s᠎​-‍﻿]+", " ", out).strip()
+    out = re.sub("[\\s\u180e\u200b-\u200d\ufeff]+", " ", out).strip()
     for pattern, word in _GATEWAY_SPLIT:
         out = pattern.sub(word, out)
     return _GATEWAY_HEX.sub(lambda m: f"[HEX: {m[0]}]", _GATEWAY_BASE64.sub(_gateway_base64, out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings.  AQE splits skewed join partitions and coalesces small
 # ones; the forced variant also splits when an extra shuffle is needed, which
@@ -44,6 +44,16 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Distribute a table of texts over all cores when its files give too few tasks.
+
+    Scanning texts costs CPU, not I/O, so a small file with one row group would
+    leave a cluster idle.  A large table has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder of the cluster for checkpoints and intermediate tables.
 

@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlight.session import spread
+
 # Reference moments of the jobs over the test tables; no job reads the clock.
 USAGE_AS_OF = dt.datetime(2001, 11, 5)
 EVENTS_AS_OF = dt.datetime(2024, 1, 31)
@@ -206,10 +208,10 @@ class Tables:
             plus_seconds(ntz(CHAT_START), F.col("conv_id") * 60 + F.col("turn") * 7).alias("ts"))
 
     def documents(self) -> DataFrame:
-        return self.raw("documents")
+        return spread(self.raw("documents"), "doc_id")
 
     def pages(self) -> DataFrame:
-        return self.raw("pages")
+        return spread(self.raw("pages"), "page_id")
 
     def vectors(self) -> DataFrame:
         return self.raw("embeddings")
