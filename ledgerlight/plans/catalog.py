@@ -6,7 +6,7 @@ import importlib
 
 from ledgerlight.plans.registry import ORACLES, QUERIES
 
-PLAN_MODULES = ("reports", "costs", "exports", "limits", "governance", "safety")
+PLAN_MODULES = ("reports", "costs", "exports", "limits", "governance", "safety", "search", "transfer")
 
 for _name in PLAN_MODULES:
     importlib.import_module(f"ledgerlight.plans.{_name}")
