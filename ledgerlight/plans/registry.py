@@ -13,6 +13,7 @@ from ledgerlight.sources.adapters import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 HOME: dict[str, str] = {}
+STATEMENTS: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
@@ -30,6 +31,7 @@ def query(name: str, oracle: str | None = None):
         QUERIES[name] = run
         HOME[name] = fn.__module__.rsplit(".", 1)[-1]
         if oracle is not None:
+            STATEMENTS[name] = oracle
             ORACLES[name] = with_views(oracle)
         return fn
 

@@ -69,7 +69,6 @@ def model_rewrite(t: Tables):
         F.concat_ws("-", "conv_id", "turn").alias("custom_id"),
         F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"), F.lit("model-a").alias("model"))
         .alias("body"))).alias("line"))
-    rows = rows.withColumn("line", F.regexp_replace("line", r'"body":\{"messages":(.*),"model":"model-a"\}', r'"body":{"model":"model-a","messages":$1}'))
     changed = RD.rewrite_model(rows, "line", "provider/model-b")
     return changed.select(F.get_json_object("line", "$.custom_id").alias("custom_id"),
                           F.get_json_object("line", "$.body.model").alias("model"),

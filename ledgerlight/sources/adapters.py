@@ -40,6 +40,25 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
     return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
+def telemetry_view(events: DataFrame) -> DataFrame:
+    """Security telemetry from the event table, batch or streaming."""
+    score = F.get_json_object("props", "$.k").cast("bigint")
+    return events.select(
+        F.col("event_id").alias("request_id"),
+        F.col("user_id").alias("session_id"),
+        F.col("ts").alias("created_at"),
+        F.col("event_type"),
+        F.when(F.col("event_type") == "error", F.lit("failure")).otherwise(F.lit("success")).alias("status"),
+        F.col("value").alias("latency_ms"),
+        score.alias("score"),
+        (score >= 80).alias("injection_detected"),
+        ((score >= 60) & (score < 90)).alias("dlp_detected"),
+        (F.when(score >= 90, F.lit("high")).when(score >= 70, F.lit("medium"))
+         .when(score >= 50, F.lit("low")).otherwise(F.lit("none"))).alias("risk"),
+        F.when(score % 2 == 0, F.lit("input")).otherwise(F.lit("output")).alias("stage"),
+    )
+
+
 class Tables:
     """Access to one data folder; nothing is read until a job runs."""
 
@@ -184,22 +203,7 @@ class Tables:
 
     # ---- security telemetry ---------------------------------------------
     def telemetry(self) -> DataFrame:
-        events = self.raw("events")
-        score = F.get_json_object("props", "$.k").cast("bigint")
-        return events.select(
-            F.col("event_id").alias("request_id"),
-            F.col("user_id").alias("session_id"),
-            F.col("ts").alias("created_at"),
-            F.col("event_type"),
-            F.when(F.col("event_type") == "error", F.lit("failure")).otherwise(F.lit("success")).alias("status"),
-            F.col("value").alias("latency_ms"),
-            score.alias("score"),
-            (score >= 80).alias("injection_detected"),
-            ((score >= 60) & (score < 90)).alias("dlp_detected"),
-            (F.when(score >= 90, F.lit("high")).when(score >= 70, F.lit("medium"))
-             .when(score >= 50, F.lit("low")).otherwise(F.lit("none"))).alias("risk"),
-            F.when(score % 2 == 0, F.lit("input")).otherwise(F.lit("output")).alias("stage"),
-        )
+        return telemetry_view(self.raw("events"))
 
     # ---- conversations, documents ---------------------------------------
     def chat(self) -> DataFrame:

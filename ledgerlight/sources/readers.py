@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,9 +110,17 @@ def read_dimension_csv(spark: SparkSession, path: str, columns: Sequence[tuple[s
 
 
 def rewrite_model(records: DataFrame, column: str, model: str) -> DataFrame:
-    """Replace the model name in the body of every batch request and keep the rest as it is."""
-    tree = F.from_json(F.get_json_object(column, "$.body"), "map<string,string>")
-    body = F.map_concat(F.map_filter(tree, lambda k, _: k != "model"), F.create_map(F.lit("model"), F.lit(model)))
-    return records.withColumn("model", body["model"]).withColumn(
-        column, F.regexp_replace(column, r'(?s)("body"\s*:\s*\{(?:(?!"model"\s*:)[^{}])*"model"\s*:\s*)"(?:[^"\\]|\\.)*"',
-                                 '$1"' + model.replace("\\", "\\\\").replace("$", r"\$") + '"'))
+    """Replace the model name in the body of every batch request and keep the rest as it is.
+
+    The shape of the body is open, so the document is rewritten as a tree.
+    """
+    @F.pandas_udf(T.StringType())
+    def rewritten(lines: pd.Series) -> pd.Series:
+        def one(line: str) -> str:
+            record = json.loads(line)
+            record["body"]["model"] = model
+            return json.dumps(record, ensure_ascii=False, separators=(",", ":"))
+
+        return lines.map(one)
+
+    return records.withColumn(column, rewritten(column))
