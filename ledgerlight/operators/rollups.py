@@ -97,14 +97,17 @@ def upsert_increment(stored: DataFrame, delta: DataFrame, key: Sequence[str], co
 BREAKDOWNS = ("model", "model_group", "provider", "endpoint", "mcp_server", "api_key", "entity")
 
 
-def daily_activity_breakdown(rows: DataFrame, dims: Sequence[str] = BREAKDOWNS) -> DataFrame:
+def daily_activity_breakdown(usage: DataFrame, owners: DataFrame, dims: Sequence[str] = BREAKDOWNS) -> DataFrame:
     """Totals per day and, for each dimension, per day and value — one scan by grouping sets.
 
-    The rows are first summed over all dimensions together, so that the
-    grouping-set expansion multiplies sums and not requests.
+    The requests are first summed over all dimensions together, so that the
+    grouping-set expansion and the join with *owners* (api_key, entity) handle
+    sums and not requests.
     """
-    base = rows.withColumn("day", day()) if "day" not in rows.columns else rows
-    summed = base.groupBy("day", *dims).agg(*measures())
+    own = [d for d in dims if d != "entity"]
+    summed = usage.withColumn("day", day()).groupBy("day", *own).agg(*measures())
+    if "entity" in dims:
+        summed = summed.join(owners.select("api_key", "entity"), "api_key", "left")
     sets = [["day"], *[["day", d] for d in dims]]
     levels = summed.groupingSets(sets, "day", *dims).agg(
         *merged_measures(), *[F.grouping(d).alias(f"_g_{d}") for d in dims])

@@ -334,9 +334,8 @@ def upsert_increment(t: Tables):
 
 
 # ---- activity --------------------------------------------------------------
-def activity_rows(t: Tables):
-    return R.with_entity_columns(t.usage(), t.keys(), t.teams()).withColumn("endpoint", F.col("call_type")).withColumn(
-        "entity", F.col("team_id"))
+def key_owners(t: Tables):
+    return t.keys().select(F.col("token").alias("api_key"), F.col("team_id").alias("entity"))
 
 
 BREAKDOWN_SQL = f"""
@@ -354,7 +353,7 @@ GROUP BY GROUPING SETS ((day), (day, model), (day, model_group), (day, provider)
 
 @query("daily_activity_breakdown", BREAKDOWN_SQL)
 def daily_activity_breakdown(t: Tables):
-    return R.daily_activity_breakdown(activity_rows(t))
+    return R.daily_activity_breakdown(t.usage().withColumn("endpoint", F.col("call_type")), key_owners(t))
 
 
 @query("daily_activity_totals", """

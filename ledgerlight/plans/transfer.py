@@ -157,7 +157,7 @@ def dimension_csv_import(t: Tables):
     t.raw("customer").select(
         F.col("c_custkey").cast("string").alias("c_custkey"), F.col("c_nationkey").cast("string").alias("c_nationkey"),
         balance.alias("balance"), F.concat(F.lit("{"), F.col("c_mktsegment"), F.lit(',"vip"}')).alias("tags"),
-        F.lit("NULL").alias("note")).write.option("header", True).csv(path)
+        F.lit("NULL").alias("note")).write.option("header", True).option("escape", '"').csv(path)
     rows = RD.read_dimension_csv(t.spark, path, [("c_custkey", "bigint"), ("c_nationkey", "int"), ("balance", "double"),
                                                  ("tags", "array<string>"), ("note", "string")])
     return rows.select("c_custkey", "c_nationkey", "balance", F.element_at("tags", 1).alias("first_tag"))

@@ -37,7 +37,7 @@ def pick(index: Column, values) -> Column:
 
 
 def plus_seconds(ts: Column, seconds: Column) -> Column:
-    return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.timestamp_add("SECOND", seconds.cast("bigint"), ts)
 
 
 def telemetry_view(events: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ class Tables:
             F.concat(F.lit("group-"), text(F.col("l_partkey") % 5)).alias("model_group"),
             F.when(F.col("l_linenumber") % 3 == 0, F.lit("embedding")).otherwise(F.lit("completion")).alias("call_type"),
             start.alias("start_time"),
-            plus_seconds(start, F.col("l_quantity")).alias("end_time"),
+            plus_seconds(F.col("l_shipdate"), second + quantity).alias("end_time"),
             (quantity * 10).alias("prompt_tokens"),
             (quantity * 4).alias("completion_tokens"),
             (cents * percent / F.lit(10_000_000.0)).alias("spend"),

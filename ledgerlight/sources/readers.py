@@ -96,7 +96,7 @@ def dead_letters(envelopes: DataFrame, source_id: str) -> DataFrame:
 def read_dimension_csv(spark: SparkSession, path: str, columns: Sequence[tuple[str, str]]) -> DataFrame:
     """Dimension rows from CSV with a header: NULL and empty text become null, bad numbers and dates too,
     and a type of array<string> reads {a,b}."""
-    raw = spark.read.option("header", True).option("nullValue", "NULL").option("emptyValue", "").csv(path)
+    raw = spark.read.option("header", True).option("nullValue", "NULL").option("emptyValue", "").option("escape", '"').csv(path)
 
     def typed(name: str, kind: str) -> Column:
         value = F.nullif(F.trim(name), F.lit(""))
