@@ -35,7 +35,7 @@ def chunks_of(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column
 
 
 def matched_rules(docs: DataFrame, doc_id: str, views: Column, rules: Sequence[InjectionRule]) -> DataFrame:
-    """One row per text and matching rule, over all chunks of all views.
+    """One row per matching rule, chunk and view (a rule may repeat).
 
     Views and chunks are exploded, so a very long text is scanned piece by piece;
     the rule tests are literal expressions in one projection.
@@ -48,7 +48,7 @@ def matched_rules(docs: DataFrame, doc_id: str, views: Column, rules: Sequence[I
     pieces = docs.select(doc_id, F.explode(F.array_distinct(views)).alias("_view")).select(
         doc_id, F.explode(chunks_of(F.col("_view"))).alias("_chunk"))
     hits = F.array_compact(F.array(*[hit(r, F.col("_chunk")) for r in rules]))
-    return pieces.select(doc_id, F.explode(hits).alias("r")).select(doc_id, "r.*").distinct()
+    return pieces.select(doc_id, F.explode(hits).alias("r")).select(doc_id, "r.*")
 
 
 def four_views(text: Column) -> Column:
@@ -66,9 +66,10 @@ def _rank(severity: Column) -> Column:
 
 def score_rules(matches: DataFrame, doc_id: str, bands: tuple[int, int]) -> DataFrame:
     """Highest weight plus ten per further category, at most 100."""
+    # The sets hold at most one entry per catalog rule, so one shuffle with partial aggregation is enough.
     totals = matches.groupBy(doc_id).agg(
-        F.max("weight").alias("_weight"), F.count_distinct("category").alias("categories"),
-        F.count_distinct("rule_id").alias("rules"), F.max(_rank(F.col("severity"))).alias("_rank"))
+        F.max("weight").alias("_weight"), F.size(F.collect_set("category")).cast("bigint").alias("categories"),
+        F.size(F.collect_set("rule_id")).cast("bigint").alias("rules"), F.max(_rank(F.col("severity"))).alias("_rank"))
     score = F.least(F.lit(100), F.col("_weight") + (F.col("categories") - 1) * 10).cast("int")
     high, medium = bands
     risk = F.when(F.col("score") >= high, "high").when(F.col("score") >= medium, "medium").otherwise("low")

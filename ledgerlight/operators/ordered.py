@@ -33,7 +33,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     """Add one running sum per entry of *values* (exclusive of the row itself by default).
 
     *bucket* must be a non-decreasing function of the first order column, such
-    as its day.  Per-bucket totals are partially aggregated before the shuffle;
+    as its day.  Rows without a key are left out.  Per-bucket totals are partially aggregated before the shuffle;
     their prefix sums give every bucket its starting value.
     """
     names = list(values)

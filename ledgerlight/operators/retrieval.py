@@ -102,6 +102,8 @@ def _unit(rows: Sequence) -> np.ndarray:
 def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the k best columns by (score, id), ties by the smaller id."""
     rounded = np.round(scores, 9)
+    if len(rounded) > k:
+        floor = max(floor, np.partition(rounded, -k)[-k])
     allowed = np.flatnonzero(rounded >= floor)
     order = allowed[np.lexsort((ids[allowed], -rounded[allowed]))][:k]
     return ids[order], rounded[order]

@@ -239,7 +239,7 @@ def dlp_type_counts(t: Tables):
 
 
 @query("high_entropy", f"""
-SELECT doc_id, length(token) AS token_length, round(bits, 9) AS bits FROM (
+SELECT doc_id, length(token)::INT AS token_length, round(bits, 9) AS bits FROM (
  SELECT doc_id, token, list_sum(list_transform(list_distinct(chars), lambda c:
    -(len(list_filter(chars, lambda x: x = c)) / len(chars)::DOUBLE) * log2(len(list_filter(chars, lambda x: x = c)) / len(chars)::DOUBLE)))
    AS bits

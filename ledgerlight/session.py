@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +39,28 @@ def build_session(app: str = "ledgerlight", master: str | None = None, partition
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
+    """Apply the runtime settings to a session somebody else created, and make the package known to its workers."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application (an installed package needs no sending)."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/ledgerlight", "zip", home.parent, home.name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Distribute a table of texts over all cores when its files give too few tasks.
 

@@ -95,6 +95,15 @@ def message_rows(frame: DataFrame, key: str) -> DataFrame:
     return frame.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*frame.columns)).alias("value"))
 
 
+def publish_messages(frame: DataFrame, key: str, servers: str, topic: str, checkpoint: str | None = None):
+    """Send rows to a topic; a streaming frame needs a checkpoint and returns its query (the connector must be installed)."""
+    rows = message_rows(frame, key)
+    if frame.isStreaming:
+        return (rows.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+                .option("checkpointLocation", checkpoint).start())
+    return rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
 def dataset_export(conversations: DataFrame, labels: DataFrame, kind: str) -> DataFrame:
     """Training export, sanitised by default: assistant = approved and successful, security = approved labels
     with risk and rule ids."""

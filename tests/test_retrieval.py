@@ -73,3 +73,15 @@ def test_reranked_positions_out_of_range_are_ignored(spark):
     ranked = spark.createDataFrame([(1, 1, 0.9), (1, 0, 0.5), (1, 7, 0.4)], "query_id bigint, index int, relevance double")
     got = R.rerank_pick(hits, ranked).orderBy(F.desc("relevance")).collect()
     assert [r.vec_id for r in got] == [11, 10]
+
+
+def test_user_sketches_merge_days_into_months(spark):
+    from ledgerlight.operators import audience as A
+    import datetime as dt
+    rows = spark.range(20_000).select(
+        F.lit("t").alias("tag"), F.concat(F.lit("u"), (F.col("id") % 700).cast("string")).alias("user_id"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("id") % 28) * 86400).cast("timestamp_ntz").alias("start_time"))
+    as_of = dt.date(2024, 1, 30)
+    exact = {r.bucket: r.active_users for r in A.active_users(rows, as_of, 30).collect()}
+    near = {r.bucket: r.active_users for r in A.active_users_from_sketches(A.active_user_sketches(rows), as_of, 30).collect()}
+    assert exact.keys() == near.keys() and all(abs(near[b] - exact[b]) <= 0.05 * exact[b] for b in exact)
