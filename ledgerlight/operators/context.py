@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.patterns import ascii_words, matches
@@ -40,22 +40,29 @@ def _compiled(patterns: Sequence[str]) -> list[str]:
     return [ascii_words(p) for p in patterns]
 
 
+def flagged(messages: DataFrame, warnings: Sequence[str] = WARNING_PATTERNS, persona: str = PERSONA_PATTERN,
+            activation: str = ACTIVATION_PATTERN) -> DataFrame:
+    """Everything the windows need from the text, as flags; the texts themselves are not shuffled."""
+    return messages.select(
+        "conv_id", "turn", "role", "ts", matches(F.col("text"), _compiled(warnings)).alias("warned"),
+        F.col("text").rlike(ascii_words(persona)).alias("sets_persona"),
+        F.col("text").rlike(ascii_words(activation)).alias("activates"))
+
+
 def numbered(messages: DataFrame) -> DataFrame:
     """Messages with their ordinal inside the conversation."""
     return ordinals(messages, ["conv_id"], ["ts", "turn"], F.to_date("ts"))
 
 
-def repeated_probing(messages: DataFrame, warnings: Sequence[str] = WARNING_PATTERNS) -> DataFrame:
-    """Warnings among the last ten messages: two are medium, three or more high."""
-    flagged = messages.withColumn("_warned", matches(F.col("text"), _compiled(warnings)).cast("int"))
-    counted = trailing_rows(flagged, ["conv_id"], "ordinal", PROBE_WINDOW, {"probes": F.sum("_warned")})
-    return counted.drop("_warned").withColumn(
-        "probing", F.when(F.col("probes") >= 3, "high").when(F.col("probes") == 2, "medium"))
+def repeated_probing(flags: DataFrame) -> DataFrame:
+    """Warnings among the last ten messages: two are medium, three or more high (needs numbered flags)."""
+    counted = trailing_rows(flags, ["conv_id"], "ordinal", PROBE_WINDOW, {"probes": F.sum(F.col("warned").cast("int"))})
+    return counted.withColumn("probing", F.when(F.col("probes") >= 3, "high").when(F.col("probes") == 2, "medium"))
 
 
 def payload_splitting(messages: DataFrame, high: Sequence[str] = HIGH_PATTERNS) -> DataFrame:
     """For user messages: some joined run of the last two to five user texts matches a high pattern."""
-    users = ordinals(messages.where(F.col("role") == "user").drop("ordinal"), ["conv_id"], ["ts", "turn"], F.to_date("ts"))
+    users = ordinals(messages.where(F.col("role") == "user").select("conv_id", "turn", "ts", "text"), ["conv_id"], ["ts", "turn"], F.to_date("ts"))
     recent = trailing_rows(users, ["conv_id"], "ordinal", PAYLOAD_WINDOW, {"_recent": F.collect_list("text")})
     size = F.size("_recent")
     hit = F.lit(False)
@@ -65,22 +72,21 @@ def payload_splitting(messages: DataFrame, high: Sequence[str] = HIGH_PATTERNS)
     return recent.withColumn("split_payload", hit).drop("_recent", "ordinal")
 
 
-def persona_trigger(messages: DataFrame, persona: str = PERSONA_PATTERN, activation: str = ACTIVATION_PATTERN) -> DataFrame:
+def persona_trigger(flags: DataFrame) -> DataFrame:
     """A persona among the first five earlier messages: high with an activation phrase now, else medium.
 
     Only the first ordinal at which a persona appears matters; it is one aggregate
     per conversation.
     """
-    early = messages.where((F.col("ordinal") <= EARLY_MESSAGES) & F.col("text").rlike(ascii_words(persona)))
+    early = flags.where((F.col("ordinal") <= EARLY_MESSAGES) & F.col("sets_persona"))
     first = early.groupBy("conv_id").agg(F.min("ordinal").alias("_first"))
     established = F.coalesce(F.col("_first") < F.col("ordinal"), F.lit(False))
-    active = F.col("text").rlike(ascii_words(activation))
-    return messages.join(first, "conv_id", "left").withColumn(
-        "persona", F.when(established & active, "high").when(established, "medium")).drop("_first")
+    return flags.join(first, "conv_id", "left").withColumn(
+        "persona", F.when(established & F.col("activates"), "high").when(established, "medium")).drop("_first")
 
 
 def velocity(messages: DataFrame, seconds: int = VELOCITY_SECONDS, limit: int = VELOCITY_LIMIT) -> DataFrame:
-    counted = trailing_count(messages, ["conv_id"], "ts", "turn", seconds)
+    counted = trailing_count(messages.select("conv_id", "turn", "ts"), ["conv_id"], "ts", "turn", seconds)
     return counted.select("conv_id", "turn", (F.col("recent") > limit).alias("velocity_spike"))
 
 
@@ -88,7 +94,8 @@ def context_risk(messages: DataFrame, warnings: Sequence[str] = WARNING_PATTERNS
                  persona: str = PERSONA_PATTERN, activation: str = ACTIVATION_PATTERN,
                  seconds: int = VELOCITY_SECONDS, limit: int = VELOCITY_LIMIT) -> DataFrame:
     """Joint risk of every user message: the weights of its detections, at most 100."""
-    rows = persona_trigger(repeated_probing(numbered(messages), warnings), persona, activation).where(F.col("role") == "user")
+    flags = numbered(flagged(messages, warnings, persona, activation))
+    rows = persona_trigger(repeated_probing(flags)).where(F.col("role") == "user")
     split = payload_splitting(messages, high).select("conv_id", "turn", "split_payload")
     joined = rows.join(split, ["conv_id", "turn"]).join(velocity(messages, seconds, limit), ["conv_id", "turn"])
 
@@ -110,11 +117,14 @@ def context_risk(messages: DataFrame, warnings: Sequence[str] = WARNING_PATTERNS
 
 
 def dedupe_history(messages: DataFrame, arrival: str, keep: int) -> DataFrame:
-    """First arrival of every (role, time, text), in time order, the last *keep* per conversation."""
+    """First arrival of every (role, time, text); the last *keep* per conversation.
+
+    Ranks above *keep* are cut before the shuffle, so a long conversation sends
+    at most *keep* rows per task.
+    """
     unique = messages.groupBy("conv_id", "role", "ts", "text").agg(F.min(arrival).alias(arrival))
-    placed = ordinals(unique, ["conv_id"], ["ts", arrival], F.to_date("ts"))
-    sizes = placed.groupBy("conv_id").agg(F.max("ordinal").alias("_last"))
-    return placed.join(sizes, "conv_id").where(F.col("ordinal") > F.col("_last") - keep).drop("_last")
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("ts"), F.desc(arrival))
+    return unique.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= keep).drop("_rank")
 
 
 def last_query(messages: DataFrame) -> DataFrame:

@@ -108,50 +108,53 @@ def _mapped(key: Column, table: dict[str, int]) -> Column:
     return value
 
 
-def with_intent(rows: DataFrame, text: str = "text", words: dict[str, Sequence[str]] = INTENT_WORDS) -> DataFrame:
-    """Add scores, keyword intent, its confidence and base risk."""
-    scores = intent_scores(F.col(text), words)
-    for name, column in scores.items():
+def text_features(rows: DataFrame, text: str = "text", words: dict[str, Sequence[str]] = INTENT_WORDS) -> DataFrame:
+    """Everything a class needs from the text, in place of the text.
+
+    Adds the keyword intent with its confidence and base risk, the threat category with
+    its confidence and the modifier points, and drops the text, so that later shuffles stay narrow.
+    """
+    lower = F.lower(F.col(text))
+    for name, column in intent_scores(F.col(text), words).items():
         rows = rows.withColumn(f"score_{name}", column)
-    known = {name: F.col(f"score_{name}") for name in scores}
+    known = {name: F.col(f"score_{name}") for name in words}
     total = sum((known[n] for n in list(known)[1:]), known[next(iter(known))])
-    rows = rows.withColumn("keyword_intent", winner(known))
+    points = F.lit(0)
+    for value, pattern in MODIFIERS:
+        points = points + F.when(lower.rlike(ascii_words(pattern)), value).otherwise(0)
+    threat = (F.when(lower.rlike(ascii_words(JAILBREAK)), "jailbreak_attempt")
+              .when(lower.rlike(ascii_words(PROBING)), "system_prompt_probing").otherwise("none"))
+    rows = threat_class(rows, text, INTENT_SIGNALS).withColumnRenamed("confidence", "threat_confidence").drop("label", "matched_signals")
+    rows = rows.withColumn("keyword_intent", winner(known)).withColumn("threat", threat).withColumn("modifier_points", points)
     confidence = F.when(F.col("keyword_intent") == "unknown", 0.45).otherwise(
         F.least(F.lit(0.99), F.greatest(*known.values()) / F.greatest(F.lit(1), total)))
-    return rows.withColumn("_confidence", confidence).withColumn("base_risk", _mapped(F.col("keyword_intent"), BASE_RISK))
+    return (rows.withColumn("confidence", F.round(confidence, 2)).withColumn("base_risk", _mapped(F.col("keyword_intent"), BASE_RISK))
+            .drop(text, *[f"score_{n}" for n in words]))
 
 
-def escalation(messages: DataFrame, words: dict[str, Sequence[str]] = INTENT_WORDS) -> DataFrame:
+def escalation(features: DataFrame) -> DataFrame:
     """User messages whose last three intents (itself included) rise strictly in base risk."""
-    users = ordinals(messages.where(F.col("role") == "user"), ["conv_id"], ["ts", "turn"], F.to_date("ts"))
-    risks = with_intent(users, words=words)
-    recent = trailing_rows(risks, ["conv_id"], "ordinal", 3, {"_r": F.collect_list("base_risk")})
+    users = ordinals(features.where(F.col("role") == "user"), ["conv_id"], ["ts", "turn"], F.to_date("ts"))
+    recent = trailing_rows(users, ["conv_id"], "ordinal", 3, {"_r": F.collect_list("base_risk")})
     a, b, c = (F.get("_r", F.lit(i)) for i in range(3))
     rising = (F.size("_r") == 3) & (a < b) & (b < c)
     return recent.withColumn("escalating", F.coalesce(rising, F.lit(False))).drop("_r", "ordinal")
 
 
-def intent_class(rows: DataFrame, words: dict[str, Sequence[str]] = INTENT_WORDS, escalating: str | None = None) -> DataFrame:
-    """Final intent and risk from keywords, threat category, modifiers and escalation."""
-    classed = rows if "keyword_intent" in rows.columns else with_intent(rows, words=words)
-    lower = F.lower("text")
-    category = (F.when(lower.rlike(ascii_words(JAILBREAK)), "jailbreak_attempt")
-                .when(lower.rlike(ascii_words(PROBING)), "system_prompt_probing").otherwise("none"))
-    classed = classed.withColumn("threat", category)
+def intent_class(features: DataFrame, escalating: str | None = None) -> DataFrame:
+    """Final intent, risk and action from the text features and, where known, an escalation flag."""
     overruled = (F.col("threat") != "none") & ~F.col("keyword_intent").isin("write", "delete", "execute")
     intent = F.when(overruled, "unknown").otherwise(F.col("keyword_intent"))
-    risk = F.when(overruled, BASE_RISK["unknown"]).otherwise(F.col("base_risk"))
-    for points, pattern in MODIFIERS:
-        risk = risk + F.when(lower.rlike(ascii_words(pattern)), points).otherwise(0)
+    risk = F.when(overruled, BASE_RISK["unknown"]).otherwise(F.col("base_risk")) + F.col("modifier_points")
     if escalating:
         risk = risk + F.when(F.col(escalating), ESCALATION).otherwise(0)
-    risk = F.when(F.col("threat") == "system_prompt_probing", F.greatest(risk, F.lit(85))).when(
-        F.col("threat") == "jailbreak_attempt", F.greatest(risk, F.lit(95))).otherwise(risk)
-    score = F.least(F.lit(100), risk)
+    floor = F.when(F.col("threat") == "system_prompt_probing", 85).when(F.col("threat") == "jailbreak_attempt", 95).otherwise(0)
+    score = F.least(F.lit(100), F.greatest(risk, floor))
     action = (F.when(F.col("threat") != "none", "sanitize").when(score >= 90, "block").when(score >= 60, "sanitize")
               .otherwise("allow"))
-    return classed.withColumn("intent", intent).withColumn("risk_score", score).withColumn("action", action).withColumn(
-        "confidence", F.round("_confidence", 2)).drop("_confidence", "base_risk")
+    confidence = F.when(overruled, F.greatest("confidence", "threat_confidence")).otherwise(F.col("confidence"))
+    return (features.withColumn("intent", intent).withColumn("risk_score", score).withColumn("action", action)
+            .withColumn("confidence", confidence).drop("threat_confidence"))
 
 
 def threat_class(rows: DataFrame, text: str, signals: Sequence[Signal] = INJECTION_SIGNALS) -> DataFrame:

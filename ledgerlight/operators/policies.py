@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlight.session import written
+
 MAX_DEPTH = 32
 
 
@@ -67,19 +69,26 @@ def inheritance_chains(policies: DataFrame) -> DataFrame:
     """Ancestors of every policy from the root to itself, and whether a cycle was cut.
 
     Each round joins the chains with themselves and so doubles their length;
-    depth 32 takes five joins, however many policies there are.  The chain ends
-    before the first name it would repeat, and at a parent that does not exist.
+    depth 32 takes five joins, however many policies there are, and the rounds
+    stop as soon as every chain has reached its root.  Each round is written to
+    the shared folder, since a self-join would otherwise double the plan.  The
+    chain ends before the first name it would repeat, and at a parent that does
+    not exist.
     """
     known = policies.select(F.col("policy").alias("_name"))
     links = (policies.join(known, policies["parent"] == F.col("_name"), "left")
              .select("policy", F.array("policy").alias("up"), F.col("_name").alias("next")))
     length = 1
     while length < MAX_DEPTH:
+        links = written(links, "policy-chains")
+        if links.where(F.col("next").isNotNull()).isEmpty():
+            break
         step = links.select(F.col("policy").alias("_p"), F.col("up").alias("_up"), F.col("next").alias("_next"))
         links = links.join(step, F.col("next") == F.col("_p"), "left").select(
             "policy", F.concat("up", F.coalesce("_up", F.array().cast("array<string>"))).alias("up"),
             F.col("_next").alias("next"))
         length *= 2
+    links = written(links, "policy-chains")
     # up runs from the policy to the root; cut it at the first repetition.
     size = F.size("up")
     repeat = F.filter(F.sequence(F.lit(2), F.greatest(size, F.lit(2))),

@@ -84,6 +84,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from there.
+
+    Cuts the lineage of iterative jobs in a way that survives the loss of executors.
+    """
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
