@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlight.functions import checks as K
-from ledgerlight.functions.patterns import ascii_words, names_of_hits
+from ledgerlight.functions.patterns import ascii_words
 from ledgerlight.functions.rule_catalog import ASSIGNED_SECRETS, DLP_RULES, TOKEN_SECRETS
 
 # Scores of a finding, entropy threshold and shape of its candidates.
@@ -199,10 +199,21 @@ def secret_prefilter() -> str:
     return "(?i)" + "|".join(names + openings)
 
 
-def secret_catalog(docs: DataFrame, doc_id: str, text: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Detectors that match a text, one row per text and detector."""
-    rules = secret_rules() if rules is None else rules
-    candidates = docs.where(F.col(text).rlike(secret_prefilter()))
-    portable = [(name, ascii_words(pattern.replace("(?i)", ""), "i" if pattern.startswith("(?i)") else ""))
-                for name, pattern in rules]
-    return candidates.select(doc_id, F.explode(F.array_distinct(names_of_hits(F.col(text), portable))).alias("detector"))
+def secret_catalog(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Detectors that match a text, one row per text and detector.
+
+    An assignment is only looked for where the name of its service occurs.
+    """
+    candidates = docs.where(F.col(text).rlike(secret_prefilter())).select(
+        doc_id, F.col(text).alias("_text"), F.lower(F.col(text)).alias("_lower"))
+    body = F.col("_text")
+    hits = []
+    for service, names, token in ASSIGNED_SECRETS:
+        named = F.lit(False)
+        for name in names.split("|"):
+            named = named | F.contains("_lower", F.lit(name))
+        pattern = ascii_words(_ASSIGN.format(names=names, token=token), "i")
+        hits.append(F.when(named & body.rlike(pattern), F.lit(service)))
+    for service, fold, token in TOKEN_SECRETS:
+        hits.append(F.when(body.rlike(ascii_words(token, "i" if fold else "")), F.lit(service)))
+    return candidates.select(doc_id, F.explode(F.array_distinct(F.array_compact(F.array(*hits)))).alias("detector"))

@@ -33,19 +33,22 @@ def action_of(status: Column) -> Column:
             .when(text.contains("fail") | text.contains("error"), "flagged").otherwise("passed"))
 
 
-def guardrail_entries(metadata: Column | str) -> Column:
-    """Guardrail entries of the metadata; anything that cannot be read is an empty list."""
-    parsed = F.from_json(metadata, METADATA)
-    first = parsed["guardrail_information"]
-    both = F.when(F.size(first) > 0, first).otherwise(parsed["standard_logging_guardrail_information"])
-    return F.coalesce(both, F.from_json(F.lit("[]"), f"array<{ENTRY}>"))
+def with_entries(usage: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """Replace the metadata by its guardrail entries; anything that cannot be read is an empty list.
+
+    Parsing is a step of its own, so every document is parsed once.
+    """
+    parsed = usage.withColumn("_meta", F.from_json(metadata, METADATA)).drop(metadata)
+    first = F.col("_meta.guardrail_information")
+    both = F.when(F.size(first) > 0, first).otherwise(F.col("_meta.standard_logging_guardrail_information"))
+    return parsed.withColumn("entries", F.coalesce(both, F.array().cast(f"array<{ENTRY}>"))).drop("_meta")
 
 
 def guardrail_index_rows(usage: DataFrame) -> DataFrame:
     """One row per request and entry that names its guardrail, duplicates included."""
-    entry = F.explode(guardrail_entries("metadata")).alias("e")
-    rows = usage.where(F.col("request_id").isNotNull() & F.col("start_time").isNotNull()).select(
-        "request_id", "start_time", entry)
+    named = usage.where(F.col("request_id").isNotNull() & F.col("start_time").isNotNull())
+    rows = with_entries(named.select("request_id", "start_time", "metadata")).select(
+        "request_id", "start_time", F.explode("entries").alias("e"))
     name = F.coalesce(F.nullif(F.col("e.guardrail_id"), F.lit("")), F.nullif(F.col("e.guardrail_name"), F.lit("")))
     return rows.select("request_id", "start_time", name.alias("guardrail_id"), F.col("e.policy_id").alias("policy_id"),
                        action_of(F.col("e.guardrail_status")).alias("action")).where(F.col("guardrail_id").isNotNull())
@@ -82,10 +85,9 @@ def _names(calls: Column) -> Column:
     return F.transform(F.coalesce(calls, F.from_json(F.lit("[]"), TOOL_CALLS)), lambda c: F.trim(c["function"]["name"]))
 
 
-def tool_names(namespaced: Column, response: Column, request: Column) -> Column:
-    """Distinct tool names of a request: the namespaced field, the calls of the response (top level and
-    first choice) and the tools offered in the request."""
-    answer, asked = F.from_json(response, RESPONSE), F.from_json(request, REQUEST)
+def tool_names(namespaced: Column, answer: Column, asked: Column) -> Column:
+    """Distinct tool names of a request: the namespaced field, the calls of the parsed response (top level and
+    first choice) and the tools offered in the parsed request."""
     first_choice = F.get(answer["choices"], F.lit(0))["message"]["tool_calls"]
     offered = F.when(asked["body"].isNotNull(), asked["body"]["tools"]).otherwise(asked["tools"])
     every = F.concat(F.array(F.trim(namespaced)), _names(answer["tool_calls"]), _names(first_choice), _names(offered))
@@ -93,16 +95,19 @@ def tool_names(namespaced: Column, response: Column, request: Column) -> Column:
 
 
 def tool_index(usage: DataFrame) -> DataFrame:
-    names = tool_names(F.col("tool_name"), F.col("response"), F.col("request"))
-    return usage.select("request_id", "start_time", F.explode(names).alias("tool_name"))
+    parsed = usage.select("request_id", "start_time", "tool_name", F.from_json("response", RESPONSE).alias("_answer"),
+                          F.from_json("request", REQUEST).alias("_asked"))
+    names = tool_names(F.col("tool_name"), F.col("_answer"), F.col("_asked"))
+    return parsed.select("request_id", "start_time", F.explode(names).alias("tool_name"))
 
 
 # ---- compliance ------------------------------------------------------------
 def compliance_checks(usage: DataFrame) -> DataFrame:
     """Six check rows per request with outcome and detail."""
-    entries = guardrail_entries("metadata")
-    pre_call = F.filter(entries, lambda g: F.coalesce(g["guardrail_mode"], F.lit("pre_call")) == "pre_call")
-    base = usage.select("request_id", "user_id", "model", "start_time", F.size(entries).alias("_all"),
+    screened = with_entries(usage.select("request_id", "user_id", "model", "start_time", "metadata")).withColumn(
+        "_pre_call", F.filter("entries", lambda g: F.coalesce(g["guardrail_mode"], F.lit("pre_call")) == "pre_call"))
+    pre_call = F.col("_pre_call")
+    base = screened.select("request_id", "user_id", "model", "start_time", F.size("entries").alias("_all"),
                         F.size(pre_call).alias("_pre"),
                         F.coalesce(F.exists(pre_call, lambda g: g["guardrail_status"].isin(*INTERVENED_STATES)),
                                    F.lit(False)).alias("_stopped"),

@@ -258,8 +258,6 @@ def high_entropy(t: Tables):
     return found.withColumn("bits", F.round("bits", 9))
 
 
-SECRET_SAMPLE = L.secret_rules() + [("generic_assignment", r"(?i)\b(?:key|token|secret)\s*[:=]\s*[a-z0-9]{8,}")]
-
 
 @query("secret_catalog", "SELECT doc_id, detector FROM (" + " UNION ".join(
     f"SELECT doc_id, {sql_text(n)} AS detector FROM base WHERE regexp_matches(text, {sql_text(p)})" for n, p in L.secret_rules())

@@ -82,9 +82,9 @@ def test_tool_names_from_three_places(spark):
     response = ('{"tool_calls":[{"function":{"name":"a"}}],"choices":[{"message":{"tool_calls":[{"function":{"name":"b"}}]}},'
                 '{"message":{"tool_calls":[{"function":{"name":"no"}}]}}]}')
     request = '{"body":{"tools":[{"function":{"name":"a"}},{"function":{"name":" c "}},{"function":{}}]}}'
-    got = spark.range(1).select(G.tool_names(F.lit(" d "), F.lit(response), F.lit(request)).alias("n")).first().n
+    got = spark.range(1).select(G.tool_names(F.lit(" d "), F.from_json(F.lit(response), G.RESPONSE), F.from_json(F.lit(request), G.REQUEST)).alias("n")).first().n
     assert sorted(got) == ["a", "b", "c", "d"]
-    bad = spark.range(1).select(G.tool_names(F.lit(None).cast("string"), F.lit("{"), F.lit("[]")).alias("n")).first().n
+    bad = spark.range(1).select(G.tool_names(F.lit(None).cast("string"), F.from_json(F.lit("{"), G.RESPONSE), F.from_json(F.lit("[]"), G.REQUEST)).alias("n")).first().n
     assert bad == []
 
 
