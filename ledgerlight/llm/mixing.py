@@ -54,22 +54,21 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def rates(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
-    """Every input row with `_size`, `_source_size`, `_target` and `_copies` in front of its own columns."""
-    sized = docs.select(word_count(F.col("text")).alias("_size"), "*")
-    goals = source_targets(sized.select("source", F.col("_size").alias("size")), **targets).toDF("_source", "_source_size", "_target")
-    joined = sized.join(goals, F.col("source").eqNullSafe(F.col("_source")))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+    """(size, source_size, target, copies, row): the last holds the columns of the input row."""
+    sized = docs.select("source", "doc_id", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    goals = source_targets(sized).withColumnRenamed("source", "goal")
+    joined = sized.join(goals, F.col("source").eqNullSafe(F.col("goal")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.select("_size", "_source_size", "_target", copies.alias("_copies"), *[docs[c] for c in docs.columns])
+    return joined.select("size", "source_size", "target", copies.alias("copies"), "row")
 
 
 def mix(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with its own columns."""
-    counted = rates(docs, seed, **targets).where("_copies > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    counted = rates(docs, seed, **targets).where("copies > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     return rates(docs.select("doc_id", "source", "text")).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"))
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -54,13 +54,13 @@ def slot_of(doc_id: Column, slots: int = SLOTS) -> Column:
     return (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % slots).cast("int")
 
 
-def place(docs: DataFrame, names: list[str] | None = None, slots: int = SLOTS, column: str = "shard") -> DataFrame:
-    """Every row with its slot and shard number in front of its own columns."""
+def place(docs: DataFrame, names: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
+    """(slot, shard, row): the last holds the columns of the input row."""
     owner = lookup_table(names or [f"shard-{i:05d}" for i in range(SHARDS)], slots)
     table = F.from_json(F.lit(str(owner.tolist())), ArrayType(IntegerType()))
     slot = slot_of(F.col("doc_id"), slots)
-    return docs.select(slot.alias(f"{column}_slot"), F.get(table, slot).alias(column), "*")
+    return docs.select(slot.alias("slot"), F.get(table, slot).alias("shard"), F.struct("*").alias("row"))
 
 
 def placement_report(docs: DataFrame) -> DataFrame:
-    return place(docs.select("doc_id")).select("doc_id", F.col("shard_slot").alias("slot"), "shard")
+    return place(docs.select("doc_id")).select("row.doc_id", "slot", "shard")

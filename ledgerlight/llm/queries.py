@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import mixing, placement
+from ledgerlight.llm import decontaminate, mixing, placement, simhash
 from ledgerlight.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,13 @@ def op9(spark, sf_dir):
 @query("op6_shard_placement")
 def op6(spark, sf_dir):
     return placement.placement_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_simhash_balls")
+def op4(spark, sf_dir):
+    return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_decontamination")
+def op3(spark, sf_dir):
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
