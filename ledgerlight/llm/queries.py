@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import decontaminate, mixing, placement, simhash
+from ledgerlight.llm import decontaminate, mixing, placement, simhash, urls, warc
 from ledgerlight.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,13 @@ def op4(spark, sf_dir):
 @query("op3_suffix_decontamination")
 def op3(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_warc_index")
+def op2(spark, sf_dir):
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@query("op7_url_templates")
+def op7(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
