@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import decontaminate, mixing, placement, simhash, urls, warc
+from ledgerlight.llm import decontaminate, mixing, placement, simhash, substrings, urls, warc
 from ledgerlight.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op2(spark, sf_dir):
 @query("op7_url_templates")
 def op7(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_substring_dedup")
+def op1(spark, sf_dir):
+    return substrings.cut_report(table(spark, sf_dir, "documents"))
