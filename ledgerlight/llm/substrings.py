@@ -108,9 +108,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     # A null id sorts last: it takes the largest number while documents are compared.
     last = F.lit((1 << 63) - 1)
     found = written(runs(docs, length, anchor).withColumn("order", F.coalesce("doc_id", last)), "substring-runs")
+    # Sums are written before they are joined, so that a frequent anchor, reach or window can be split in the join.
     seeds = found.groupBy("anchor").agg(F.min("order").alias("low"), F.max("order").alias("high"), (F.min("reach_a") < F.max("reach_a")).alias("differ")).where("low < high")
-    shared = written(found.join(seeds.select("anchor", "differ"), "anchor"), "substring-shared")
-    reaches = shared.groupBy("reach_a", "reach_b").agg(F.min("order").alias("first"))
+    seeds = written(seeds.select("anchor", "differ"), "substring-seeds")
+    shared = written(found.join(seeds, "anchor"), "substring-shared")
+    reaches = written(shared.groupBy("reach_a", "reach_b").agg(F.min("order").alias("first")), "substring-reaches")
     judged = written(shared.join(reaches, ["reach_a", "reach_b"]).select("doc_id", "key", "start", "windows", (F.col("first") < F.col("order")).alias("repeat"), "differ")
                      .where("repeat or differ"), "substring-judged")
     whole = judged.where("repeat").select("doc_id", "key", "start", "windows")
@@ -118,6 +120,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     marked = docs.alias("d").join(open_.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.key") == F.col("o.key"))).select("d.*", "o.stretches")
     tried = written(windows_of(marked, length).withColumn("order", F.coalesce("doc_id", last)), "substring-windows")
     earliest = tried.groupBy("hash_a", "hash_b").agg(F.min("order").alias("first"), F.max("order").alias("final")).where("first < final")
+    earliest = written(earliest.drop("final"), "substring-earliest")
     extended = tried.join(earliest, ["hash_a", "hash_b"]).where("first < order").select("doc_id", "key", F.col("at").alias("start"), F.lit(1).alias("windows"))
     return whole.union(extended)
 
