@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import decontaminate, mixing, placement, simhash, substrings, urls, warc
+from ledgerlight.llm import decontaminate, mixing, placement, simhash, substrings, toxicity, urls, warc
 from ledgerlight.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op7(spark, sf_dir):
 @query("op1_substring_dedup")
 def op1(spark, sf_dir):
     return substrings.cut_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_weak_toxicity")
+def op5(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
