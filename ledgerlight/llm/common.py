@@ -17,6 +17,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings of the operators: bounded Arrow batches, so a worker never holds more than a few of them."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # Else the splits of a scan would depend on how many executors are up.
+    spark.conf.set("spark.sql.files.minPartitionNum", "32")
     return spark
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import decontaminate, mixing, placement, simhash, substrings, toxicity, urls, warc
+from ledgerlight.llm import decontaminate, lm, mixing, placement, simhash, substrings, toxicity, urls, warc
 from ledgerlight.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op1(spark, sf_dir):
 @query("op5_weak_toxicity")
 def op5(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_trie_language_model")
+def op10(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
