@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import decontaminate, lm, mixing, placement, simhash, substrings, toxicity, urls, warc
+from ledgerlight.llm import collisions, decontaminate, lm, mixing, placement, simhash, substrings, toxicity, urls, warc
 from ledgerlight.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op5(spark, sf_dir):
 @query("op10_trie_language_model")
 def op10(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op8_collision_counting")
+def op8(spark, sf_dir):
+    return collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
