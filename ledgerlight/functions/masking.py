@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -65,14 +66,54 @@ def mask_json(payloads: pd.Series) -> pd.Series:
     return payloads.map(one)
 
 
+def path_steps(path: str) -> list[str | int | None]:
+    """Steps of a dotted path: names (a dot in a name is escaped by a backslash), positions `[0]`, and None for `[*]`."""
+    steps: list[str | int | None] = []
+    for token in re.finditer(r"\[(\*|\d+)\]|((?:\\.|[^.\[\\])+)", path):
+        place, name = token.groups()
+        steps.append(re.sub(r"\\(.)", r"\1", name) if name is not None else None if place == "*" else int(place))
+    return steps
+
+
+def json_path(path: str) -> str:
+    """The JSON path expression of a dotted path."""
+    return "$" + "".join("[*]" if s is None else f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in path_steps(path))
+
+
 def payload_fields(column: str, paths: dict[str, str]) -> list[Column]:
     """One text column per dotted path; a path that leads nowhere gives null."""
-    return [F.get_json_object(column, f"$.{path}").alias(name) for name, path in paths.items()]
+    return [F.get_json_object(column, json_path(path)).alias(name) for name, path in paths.items()]
+
+
+def _without(node, steps: list[str | int | None]):
+    """The tree without what the steps lead to."""
+    step, rest = steps[0], steps[1:]
+    if isinstance(node, dict) and isinstance(step, str) and step in node:
+        return {k: _without(v, rest) if k == step else v for k, v in node.items() if rest or k != step}
+    if isinstance(node, list) and not isinstance(step, str):
+        hit = range(len(node)) if step is None else [step]
+        return [_without(v, rest) if i in hit else v for i, v in enumerate(node) if rest or i not in hit]
+    return node
+
+
+def payload_prune(payload: Column | str, paths: Sequence[str]) -> Column:
+    """The payload without the dotted *paths*; everything else stays, whatever its shape, and so does text that is no JSON."""
+    routes = [path_steps(p) for p in paths]
+
+    @F.pandas_udf(T.StringType())
+    def prune(payloads: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                tree = json.loads(text)
+            except (TypeError, ValueError):
+                return text
+            for route in routes:
+                tree = _without(tree, route)
+            return json.dumps(tree, separators=(",", ":"), ensure_ascii=False)
 
+        return payloads.map(one)
 
-def payload_prune(payload: Column | str, schema: str, paths: Sequence[str]) -> Column:
-    """The payload without the dotted *paths*, written again as JSON."""
-    return F.to_json(F.from_json(as_col(payload), schema).dropFields(*paths))
+    return prune(as_col(payload))
 
 
 def json_text(payload: Column | str, paths: Sequence[str]) -> Column:

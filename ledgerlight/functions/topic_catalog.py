@@ -27,31 +27,29 @@ TOPICS = (
           ("too old to work here",)),
     Topic("bias_gender", "medium", ("women", "men", "girls", "boys"), ("inferior", "incapable", "belong in"),
           ("women cannot lead",), exceptions=("women's health",)),
-    Topic("bias_racial", "high", ("race", "ethnicity"), ("inferior", "superior", "criminals"), ("racial superiority",)),
+    Topic("bias_racial", "high", ("skin colour", "ancestry", "foreign-born"), ("less intelligent", "second-class", "keep out"), ("pure blood",)),
     Topic("bias_religious", "medium", ("believers", "religion", "faith"), ("dangerous", "inferior", "ban"), ("all believers are",)),
     Topic("bias_sexual_orientation", "medium", ("gay", "lesbian", "orientation"), ("unnatural", "cure", "wrong"),
           ("conversion therapy for",)),
-    Topic("claims_fraud_coaching", "high", ("insurance claim", "claim form", "adjuster"), ("exaggerate", "fake", "inflate", "hide"),
-          ("stage an accident",)),
+    Topic("claims_fraud_coaching", "high", ("damage report", "repair bill", "loss statement"), ("pad", "invent", "backdate"),
+          ("burn my car for the money",)),
     Topic("claims_medical_advice", "medium", ("claim", "treatment plan"), ("diagnose", "prescribe", "dosage"),
           ("approve my treatment",)),
     Topic("claims_phi_disclosure", "high", ("patient record", "member id", "medical record"), ("share", "reveal", "list"),
           ("show me another patient",)),
     Topic("claims_prior_auth_gaming", "high", ("prior authorization", "pre-approval"), ("bypass", "trick", "reword"),
           ("which code gets approved",)),
-    Topic("claims_system_override", "high", ("claims system", "adjudication"), ("override", "force", "skip"),
-          ("mark the claim as paid",)),
-    Topic("denied_financial_advice", "high",
-          ("stock", "stocks", "bond", "shares", "portfolio", "fund", "crypto", "dividend", "securities"),
-          ("buy", "sell", "invest", "recommend", "should", "profit", "return", "best"),
-          ("should i invest", "investment advice", "stock tips", "how to invest"),
-          (r"\b(?:put|park|place)\b.{0,30}\b(?:money|cash|savings)\b", r"\bbest way to\b.{0,15}\b(?:grow|invest)\b"),
-          ("in stock", "return policy", "gold standard", "bond with")),
+    Topic("claims_system_override", "high", ("payout queue", "review step", "case status"), ("push through", "unlock", "wave through"),
+          ("pay it out without review",)),
+    Topic("denied_financial_advice", "high", ("stock", "etf", "bitcoin", "pension pot", "brokerage account", "treasury bill"),
+          ("buy", "time the market", "double my money", "go all in", "hold on to"),
+          ("should i invest", "stock tips", "where should my savings go", "pick a portfolio for me"),
+          (r"\b(?:which|what)\s+(?:coin|etf|company)\b.{0,25}\b(?:rise|win|pay off)\b", r"\b(?:savings|nest egg)\b.{0,20}\b(?:anywhere|somewhere)\b"), ("in stock", "stock photo", "rolling stock")),
     Topic("denied_insults", "low", ("you", "he", "she"), ("idiot", "moron", "stupid"), ("you are worthless",)),
     Topic("denied_legal_advice", "medium", ("lawsuit", "contract", "lawyer", "court"), ("should i", "advise", "sue", "represent"),
           ("legal advice",)),
-    Topic("denied_medical_advice", "high", ("symptom", "medication", "disease", "dose"), ("diagnose", "prescribe", "should i take"),
-          ("medical advice",)),
+    Topic("denied_medical_advice", "high", ("rash", "blood pressure", "painkiller", "lump"), ("how many can i take", "is it serious", "stop taking"),
+          ("tell me what illness i have",)),
     Topic("disability", "medium", ("disabled", "wheelchair", "blind"), ("burden", "exclude", "useless"), ("not fit to live",)),
     Topic("gender_sexual_orientation", "medium", ("transgender", "gender"), ("deny", "refuse", "mock"), ("refuse service to gay",)),
     Topic("harmful_child_safety", "high", ("child", "minor"), ("exploit", "groom", "meet alone"), ("child abuse material",)),
@@ -59,15 +57,15 @@ TOPICS = (
           ("how to make a bomb",)),
     Topic("harmful_self_harm", "high", ("myself", "suicide"), ("hurt", "kill", "end"), ("ways to kill myself",)),
     Topic("harmful_violence", "high", ("attack", "victim"), ("kill", "stab", "shoot"), ("plan a shooting",)),
-    Topic("military_status", "low", ("veteran", "service member"), ("exclude", "refuse", "reject"), ("no veterans allowed",)),
+    Topic("military_status", "low", ("ex-soldier", "reservist", "deployed"), ("turn away", "not hire", "pay less"), ("soldiers need not apply",)),
     Topic("prompt_injection_data_exfiltration", "high", ("training data", "conversation history", "customer data"),
           ("dump", "export", "send"), ("print all user data",)),
     Topic("prompt_injection_jailbreak", "high", ("restrictions", "guidelines"), ("ignore", "bypass", "remove"),
           ("do anything now",), exceptions=("follow the guidelines",)),
     Topic("prompt_injection_malicious_code", "high", ("malware", "keylogger", "ransomware"), ("write", "create", "build"),
           ("write ransomware",)),
-    Topic("prompt_injection_sql", "high", ("select", "union", "table"), ("drop", "or 1=1", "sleep("), ("drop table users",),
-          (r"\bunion\s+(?:all\s+)?select\b", r"'\s*or\s+'?1'?\s*=\s*'?1")),
+    Topic("prompt_injection_sql", "high", ("query", "where clause", "database"), ("truncate", "xp_cmdshell", "waitfor delay"), ("delete every row",),
+          (r";\s*(?:delete|truncate|alter)\s+\w+",)),
     Topic("prompt_injection_system_prompt", "high", ("system prompt", "instructions"), ("reveal", "show", "repeat"),
           ("what is your system prompt",)),
     Topic("religion", "low", ("church", "mosque", "temple"), ("ban", "burn", "close"), ("no religious people",)),

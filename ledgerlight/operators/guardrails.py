@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.money import count_if, sum_money
@@ -81,6 +81,12 @@ def overview(metrics: DataFrame) -> DataFrame:
 
 
 # ---- tools -----------------------------------------------------------------
+def ranked(rows: DataFrame, metric: str, tie: str, descending: bool = True) -> DataFrame:
+    """All rows with their position by *metric*, in either direction; equal ones by *tie*.  One row per guardrail is sorted."""
+    first = F.desc(metric) if descending else F.asc(metric)
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(first, tie)))
+
+
 def _names(calls: Column) -> Column:
     return F.transform(F.coalesce(calls, F.from_json(F.lit("[]"), TOOL_CALLS)), lambda c: F.trim(c["function"]["name"]))
 

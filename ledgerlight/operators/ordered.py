@@ -28,12 +28,21 @@ def epoch_micros(ts: Column | str) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on *keys* where null equals null; the keys are the left ones."""
+    renamed = right.select(*[F.col(k).alias(f"_right_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    condition = F.lit(True)
+    for i, key in enumerate(keys):
+        condition = condition & left[key].eqNullSafe(renamed[f"_right_{i}"])
+    return left.join(renamed, condition).drop(*[f"_right_{i}" for i in range(len(keys))])
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
                    bucket: Column, inclusive: bool = False) -> DataFrame:
     """Add one running sum per entry of *values* (exclusive of the row itself by default).
 
     *bucket* must be a non-decreasing function of the first order column, such
-    as its day.  Rows without a key are left out.  Per-bucket totals are partially aggregated before the shuffle;
+    as its day.  A null key or bucket is a key or bucket like any other.  Per-bucket totals are partially aggregated before the shuffle;
     their prefix sums give every bucket its starting value.
     """
     names = list(values)
@@ -47,7 +56,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in names])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    out = base.join(offsets, [*keys, "_bucket"])
+    out = join_null_safe(base, offsets, [*keys, "_bucket"])
     for name in names:
         out = out.withColumn(
             name, F.col(f"_o_{name}") + F.coalesce(F.sum(f"_v_{name}").over(inside), F.lit(0)))
@@ -68,19 +77,22 @@ def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, sec
     A sliding frame would visit the whole span again for every row.  Instead each
     row puts a marker at the start of its span on the time line; the count is the
     running count at the row minus the running count at its marker.  Returns one
-    row per *row_id* with the keys, the time and the count.
+    row per input row with the keys, *row_id*, the time and the count; rows that
+    are equal in these are counted apart and come back apart.
     """
     span = seconds * 1_000_000
     marker_rank = 2 if open_start else 0
-    line = df.select(*keys, row_id, ts, F.explode(F.array(
+    once = df.groupBy(*keys, row_id, ts).agg(F.count(F.lit(1)).alias("_times"))
+    line = once.select(*keys, row_id, ts, "_times", F.explode(F.array(
         F.struct(epoch_micros(ts).alias("at"), F.lit(1).alias("rank")),
         F.struct((epoch_micros(ts) - span).alias("at"), F.lit(marker_rank).alias("rank")))).alias("e")).select(
-        *keys, row_id, ts, F.col("e.at").alias("_at"), F.col("e.rank").alias("_rank"))
+        *keys, row_id, ts, "_times", F.col("e.at").alias("_at"), F.col("e.rank").alias("_rank"))
     is_row = F.col("_rank") == 1
-    counted = running_totals(line, keys, ["_at", "_rank", row_id], {"_c": F.when(is_row, 1).otherwise(0).cast("bigint")},
+    counted = running_totals(line, keys, ["_at", "_rank", row_id], {"_c": F.when(is_row, F.col("_times")).otherwise(0).cast("bigint")},
                              F.floor(F.col("_at") / F.lit(86_400_000_000)), inclusive=True)
-    return counted.groupBy(*keys, row_id).agg(
-        F.max(ts).alias(ts), (F.max(F.when(is_row, F.col("_c"))) - F.max(F.when(~is_row, F.col("_c")))).alias(name))
+    found = counted.groupBy(*keys, row_id, ts, "_times").agg(
+        (F.max(F.when(is_row, F.col("_c"))) - F.max(F.when(~is_row, F.col("_c")))).alias(name))
+    return found.select(*keys, row_id, ts, name, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("col")
 
 
 def trailing_rows(df: DataFrame, keys: Sequence[str], ordinal: str, rows: int,

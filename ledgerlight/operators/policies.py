@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from ledgerlight.session import written
 
-MAX_DEPTH = 32
-
 
 @dataclass(frozen=True)
 class Attachment:
@@ -68,18 +66,17 @@ def model_condition(model: Column, condition: Sequence[str] | str) -> Column:
 def inheritance_chains(policies: DataFrame) -> DataFrame:
     """Ancestors of every policy from the root to itself, and whether a cycle was cut.
 
-    Each round joins the chains with themselves and so doubles their length;
-    depth 32 takes five joins, however many policies there are, and the rounds
-    stop as soon as every chain has reached its root.  Each round is written to
-    the shared folder, since a self-join would otherwise double the plan.  The
-    chain ends before the first name it would repeat, and at a parent that does
-    not exist.
+    Each round joins the chains with themselves and so doubles their length; a
+    chain goes on until it reaches its root or repeats a name, so the number of
+    rounds is the logarithm of the longest chain and no depth is cut.  Each round
+    is written to the shared folder, since a self-join would otherwise double the
+    plan.  The chain ends before the first name it would repeat, and at a parent
+    that does not exist.
     """
     known = policies.select(F.col("policy").alias("_name"))
     links = (policies.join(known, policies["parent"] == F.col("_name"), "left")
              .select("policy", F.array("policy").alias("up"), F.col("_name").alias("next")))
-    length = 1
-    while length < MAX_DEPTH:
+    while True:
         links = written(links, "policy-chains")
         if links.where(F.col("next").isNotNull()).isEmpty():
             break
@@ -87,8 +84,8 @@ def inheritance_chains(policies: DataFrame) -> DataFrame:
         links = links.join(step, F.col("next") == F.col("_p"), "left").select(
             "policy", F.concat("up", F.coalesce("_up", F.array().cast("array<string>"))).alias("up"),
             F.col("_next").alias("next"))
-        length *= 2
-    links = written(links, "policy-chains")
+        repeats = F.size(F.array_distinct("up")) < F.size("up")
+        links = links.withColumn("next", F.when(~repeats, F.col("next")))
     # up runs from the policy to the root; cut it at the first repetition.
     size = F.size("up")
     repeat = F.filter(F.sequence(F.lit(2), F.greatest(size, F.lit(2))),
@@ -102,7 +99,7 @@ def effective_guardrails(policies: DataFrame, chains: DataFrame, applies: Column
     """Guardrails of every policy: root to leaf, each step adds and then removes.
 
     *applies* is the condition of a single policy; one that fails is skipped.
-    A chain is at most MAX_DEPTH long, so the ordered list per policy is bounded.
+    The ordered list per policy is as long as its chain.
     """
     rules = policies.select(F.col("policy").alias("ancestor"), "add", "remove", applies.alias("_applies"))
     steps = (chains.select("policy", F.posexplode("chain").alias("depth", "ancestor")).join(rules, "ancestor")

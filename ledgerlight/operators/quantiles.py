@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.operators.ordered import running_totals
+from ledgerlight.operators.ordered import join_null_safe, running_totals
 
 
 def _counted(rows: DataFrame, keys: Sequence[str], value: str, bucket_width: float) -> DataFrame:
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counts, keys, [value], {"_before": F.col("_n")}, F.floor(F.col(value) / bucket_width))
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    return ranked.join(totals, list(keys))
+    return join_null_safe(ranked, totals, list(keys))
 
 
 def _value_at(index: Column, value: str) -> Column:

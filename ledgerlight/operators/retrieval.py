@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -19,44 +19,45 @@ CONTEXT_END = "\n\n"
 
 
 # ---- chunks ----------------------------------------------------------------
-def _packed(pieces: Sequence[str], glue: str, size: int, overlap: int) -> Iterator[str]:
-    """Join neighbouring pieces up to *size*, carrying about *overlap* characters over."""
-    window: deque[str] = deque()
-    filled = 0
-    for piece in pieces:
-        added = len(piece) + (len(glue) if window else 0)
-        if window and filled + added > size:
-            yield glue.join(window)
-            while filled > overlap and len(window) > 1:
-                filled -= len(window.popleft()) + len(glue)
-        window.append(piece)
-        filled += added
-    if window:
-        yield glue.join(window)
-
-
-def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-               separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Split at the coarsest separator present, and pieces that stay too long at finer ones.
-
-    A piece exactly as long as *size* counts as too long.  Chunks are stripped.
+def _filled(starts: np.ndarray, ends: np.ndarray, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Spans of neighbouring pieces of at most *size* characters; the next span begins with about *overlap* of the last."""
+    first, reached = 0, 0
+    while first < len(starts):
+        last = max(reached, int(np.searchsorted(ends, starts[first] + size, side="right")) - 1)
+        yield int(starts[first]), int(ends[last])
+        if last + 1 == len(starts):
+            return
+        first = max(first, min(last, int(np.searchsorted(starts, ends[last] - overlap))))
+        reached = last + 1
+
+
+def chunk_spans(text: str, low: int, high: int, separators: Sequence[str], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Spans of the chunks of text[low:high]: every chunk is a stretch of the text, so only offsets are moved.
+
+    The stretch is cut at the coarsest separator it holds; pieces of *size* or more are cut at finer ones, or into
+    equal steps when there is none.
     """
-    level = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
+    level = next((i for i, s in enumerate(separators) if not s or text.find(s, low, high) >= 0), len(separators) - 1)
     glue, finer = separators[level], separators[level + 1:]
-    chunks: list[str] = []
-    small: list[str] = []
-    for piece in text.split(glue) if glue else list(text):
-        if len(piece) < size:
-            small.append(piece)
-            continue
-        chunks += _packed(small, glue, size, overlap)
-        small = []
-        if finer:
-            chunks += split_text(piece, size, overlap, finer)
-        else:
-            chunks += [piece[i:i + size] for i in range(0, max(1, len(piece) - overlap), size - overlap)]
-    chunks += _packed(small, glue, size, overlap)
-    return [c for c in map(str.strip, chunks) if c]
+    cuts = np.array([m.start() for m in re.compile(re.escape(glue)).finditer(text, low, high)] if glue else range(low + 1, high), dtype=np.int64)
+    starts, ends = np.concatenate([[low], cuts + len(glue)]), np.concatenate([cuts, [high]])
+    large = np.flatnonzero(ends - starts >= size)
+    after = 0
+    for piece in [*large, len(starts)]:
+        yield from _filled(starts[after:piece], ends[after:piece], size, overlap)
+        after = piece + 1
+        if piece < len(starts):
+            a, b = int(starts[piece]), int(ends[piece])
+            if finer:
+                yield from chunk_spans(text, a, b, finer, size, overlap)
+            else:
+                yield from ((i, min(i + size, b)) for i in range(a, max(a + 1, b - overlap), size - overlap))
+
+
+def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: Sequence[str] = SEPARATORS) -> list[str]:
+    """The chunks of a text, stripped, without empty ones."""
+    stripped = (text[a:b].strip() for a, b in chunk_spans(text, 0, len(text), separators, size, overlap))
+    return [chunk for chunk in stripped if chunk]
 
 
 def chunk_documents(docs: DataFrame, doc_id: str, text: str, size: int = CHUNK_SIZE,

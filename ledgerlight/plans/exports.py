@@ -206,8 +206,7 @@ SELECT event_id, '{"body":{"event_type":"' || event_type || '"},"id":' || event_
 def payload_prune(t: Tables):
     payload = F.to_json(F.struct(F.struct("event_type", "user_id", F.struct("value").alias("raw")).alias("body"),
                                  F.col("event_id").alias("id")))
-    schema = "body struct<event_type:string,user_id:bigint,raw:struct<value:double>>, id bigint"
-    return t.raw("events").select("event_id", M.payload_prune(payload, schema, ["body.user_id", "body.raw"]).alias("pruned"))
+    return t.raw("events").select("event_id", M.payload_prune(payload, ["body.user_id", "body.raw"]).alias("pruned"))
 
 
 @query("json_fields", """

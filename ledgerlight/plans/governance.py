@@ -99,11 +99,10 @@ def guardrail_overview(t: Tables):
 @query("guardrail_sort", """
 SELECT guardrail_id, count(*)::BIGINT AS requests_evaluated,
  row_number() OVER (ORDER BY count(*) DESC, guardrail_id)::INT AS position FROM guardrail_rows GROUP BY 1
-ORDER BY count(*) DESC, guardrail_id LIMIT 100""")
+ORDER BY count(*) DESC, guardrail_id""")
 def guardrail_sort(t: Tables):
     totals = index_rows(t).groupBy("guardrail_id").agg(F.count(F.lit(1)).alias("requests_evaluated"))
-    top = totals.orderBy(F.desc("requests_evaluated"), "guardrail_id").limit(100)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("requests_evaluated"), "guardrail_id")))
+    return G.ranked(totals, "requests_evaluated", "guardrail_id")
 
 
 @query("index_insert_ignore", """

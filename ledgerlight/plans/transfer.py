@@ -112,11 +112,11 @@ def export_row_batches(t: Tables):
 
 @query("export_layout", """
 SELECT CAST(start_time AS DATE) AS date, CAST(extract(hour FROM start_time) AS INT) AS hour, count(*)::BIGINT AS requests
-FROM usage_rows WHERE start_time >= TIMESTAMP '2001-10-06' GROUP BY 1, 2""")
+FROM usage_rows GROUP BY 1, 2""")
 def export_layout(t: Tables):
-    """The last 30 days twice into the same layout: the second run replaces its partitions."""
+    """The whole log twice into the same layout: the second run replaces its partitions."""
     path = fresh_path(t.spark, "layout")
-    rows = t.usage(since=dt.datetime(2001, 10, 6)).select("request_id", "start_time", "spend")
+    rows = t.usage().select("request_id", "start_time", "spend")
     for _ in range(2):
         W.write_partitioned(rows, path, "start_time", hourly=True)
     return t.spark.read.parquet(path).groupBy(F.col("date").cast("date").alias("date"), F.col("hour").cast("int").alias("hour")).agg(
@@ -133,10 +133,10 @@ def export_window(t: Tables):
 
 
 @query("log_object_key", """
-SELECT CAST(start_time AS DATE) AS date, count(*)::BIGINT AS objects FROM usage_rows WHERE start_time >= TIMESTAMP '2001-10-06' GROUP BY 1""")
+SELECT CAST(start_time AS DATE) AS date, count(*)::BIGINT AS objects FROM usage_rows GROUP BY 1""")
 def log_object_key(t: Tables):
     path = fresh_path(t.spark, "log-objects")
-    W.write_partitioned(t.usage(since=dt.datetime(2001, 10, 6)), path, "start_time", hourly=False)
+    W.write_partitioned(t.usage(), path, "start_time", hourly=False)
     return t.spark.read.parquet(path).groupBy(F.col("date").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("objects"))
 
 

@@ -74,11 +74,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder of the cluster for checkpoints and intermediate tables.
 
-    The cluster names it in spark.checkpoint.dir.  Only where that is unset (a
-    local run) do we choose a folder ourselves.
+    The cluster names it in spark.checkpoint.dir.  Only where that is unset in a
+    local run do we choose a folder ourselves; a cluster without one is an error,
+    because executors would not see each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="ledgerlight-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
