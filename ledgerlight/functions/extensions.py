@@ -23,15 +23,15 @@ def register_guardrail(spark: SparkSession, name: str, judge: Callable[[pd.Serie
     return spark.udf.register(name, guard)
 
 
-def register_table_functions(spark: SparkSession) -> None:
-    """text_chunks(text) and text_findings(text) for LATERAL joins in SQL."""
+def register_table_functions(spark: SparkSession, today: dt.date) -> None:
+    """text_chunks(text) and text_findings(text) for LATERAL joins in SQL; dates after *today* are no birth dates."""
     class Chunks:
         def eval(self, text: str):
             yield from enumerate(split_text(text or ""))
 
     class Findings:
         def eval(self, text: str):
-            for rule, kind, category, start, end, _ in _resolve(_candidates(text or "", dt.date.max)):
+            for rule, kind, category, start, end, _ in _resolve(_candidates(text or "", today)):
                 yield rule, kind, category, start, end
 
     spark.udtf.register("text_chunks", F.udtf(Chunks, returnType="chunk_no int, chunk string"))

@@ -133,6 +133,7 @@ def compliance_checks(usage: DataFrame) -> DataFrame:
         return F.struct(F.lit(name).alias("check_name"), F.lit(article).alias("article"), passed.alias("passed"),
                         detail.alias("detail"))
 
+    # Names, articles and detail texts of the checks.
     checks = F.array(
         check("Guardrails applied", "Art. 9", F.col("_all") > 0,
               F.when(F.col("_all") > 0, F.concat(F.col("_all").cast("string"), F.lit(" guardrail(s) applied")))

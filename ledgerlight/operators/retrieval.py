@@ -182,6 +182,8 @@ def nearest_anchor(vectors: DataFrame, anchors: DataFrame, threshold: float) ->
     are the bounded side and the vectors stay in place.
     """
     head = anchors.select("anchor_id", "embedding").limit(MAX_QUERY_BLOCK + 1).collect()
+    if not head:
+        return vectors.sparkSession.createDataFrame([], "vec_id bigint, anchor_id bigint, score double")
     base = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
     if len(head) > MAX_QUERY_BLOCK:
         hits = _grid_hits(anchors.select(F.col("anchor_id").cast("bigint").alias("vec_id"), "embedding"),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import extensions as X
 from ledgerlight.operators import dlp as L
 from ledgerlight.plans.registry import query
+from ledgerlight.plans.safety import TODAY
 from ledgerlight.sources.adapters import Tables
 from ledgerlight.streaming import runner as RN
 
@@ -47,14 +46,14 @@ def custom_price(t: Tables):
 
 @query("udtf_chunks")
 def udtf_chunks(t: Tables):
-    X.register_table_functions(t.spark)
+    X.register_table_functions(t.spark, TODAY)
     t.raw("conversations").createOrReplaceTempView("chunk_source")
     return t.spark.sql("SELECT conv_id, turn, c.chunk_no, length(c.chunk) AS size FROM chunk_source, LATERAL text_chunks(text) AS c")
 
 
 @query("udtf_findings")
 def udtf_findings(t: Tables):
-    X.register_table_functions(t.spark)
+    X.register_table_functions(t.spark, TODAY)
     t.documents().createOrReplaceTempView("finding_source")
     return t.spark.sql("SELECT doc_id, f.rule_id, f.type, f.start, f.end FROM finding_source, LATERAL text_findings(text) AS f")
 
@@ -62,7 +61,7 @@ def udtf_findings(t: Tables):
 @query("dlp_resolve")
 def dlp_resolve(t: Tables):
     """Resolved spans per text: how many, how many characters they cover, and that none overlap."""
-    spans = L.dlp_findings(t.documents(), "doc_id", "text", dt.date(2024, 6, 1))
+    spans = L.dlp_findings(t.documents(), "doc_id", "text", TODAY)
     return spans.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("covered"),
         (F.max("end") - F.min("start") >= F.sum(F.col("end") - F.col("start"))).alias("disjoint"))
