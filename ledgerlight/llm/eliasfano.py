@@ -50,7 +50,7 @@ class EliasFano:
         ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(size)
         bitmap = np.zeros((universe >> width) + size + 1, dtype=np.uint8)
         bitmap[ones] = 1
-        packed = np.concatenate([pack(values[i:i + (1 << 18)], width) for i in range(0, size, 1 << 18)]) if size else np.zeros(0, np.uint8)
+        packed = np.concatenate([pack(values[i:i + (1 << 15)], width) for i in range(0, size, 1 << 15)]) if size else np.zeros(0, np.uint8)
         return cls(packed, np.packbits(bitmap, bitorder="little"), size, width)
 
     def parts(self) -> np.ndarray:

@@ -48,8 +48,8 @@ from ledgerlight.session import written
 DISCOUNT = 0.75
 # The code of a discounted count of one; smaller codes are below one.
 OFFSET = 20
-SLICE_BYTES = 8 << 20
-SHARD_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+SHARD_BYTES = 12 << 20
 FOLDS, HELD_OUT = 7, 2
 BEGIN, END = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
