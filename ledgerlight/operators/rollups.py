@@ -60,8 +60,10 @@ def rollup_by_key_owner(usage: DataFrame, keys: DataFrame, teams: DataFrame, ent
 
 
 def rollup_tag(usage: DataFrame) -> DataFrame:
-    tagged = usage.withColumn("tag", F.explode(F.from_json("request_tags", TAGS_TYPE)))
-    return daily_rollup(tagged, "tag")
+    """Requests are summed by the text of their tag list; each different text is parsed, and its sums exploded, once."""
+    summed = usage.where(F.col("request_tags").isNotNull()).withColumn("day", day()).groupBy("request_tags", *ROLLUP_DIMS).agg(*measures())
+    tagged = summed.withColumn("tag", F.explode(F.from_json("request_tags", TAGS_TYPE))).where(F.col("tag").isNotNull())
+    return tagged.groupBy("tag", *ROLLUP_DIMS).agg(*merged_measures())
 
 
 # ---- entity totals and compaction -----------------------------------------
@@ -71,19 +73,28 @@ ENTITY_COLUMNS = {
 }
 
 
+def summed_spend(usage: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Spend and number of requests of every combination of entities, before any of them is taken apart."""
+    return usage.groupBy(*columns).agg(sum_money("spend").alias("spend"), F.count(F.lit(1)).alias("merged"))
+
+
 def deltas(usage: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """One pending (entity_type, entity_id, response_cost) row per request and entity column."""
+    """One pending (entity_type, entity_id, response_cost, merged) row per row of *usage* and entity column.
+
+    Rows may be requests or sums of them; *merged* is the number of requests in a row, if there is such a column.
+    """
+    merged = F.col("merged") if "merged" in usage.columns else F.lit(1).cast("bigint")
     pairs = F.array(*[F.struct(F.lit(kind).alias("entity_type"), F.col(col).cast("string").alias("entity_id"))
                       for kind, col in columns.items()])
-    return usage.select(F.explode(pairs).alias("pair"), F.col("spend").alias("response_cost")).select(
-        "pair.entity_type", "pair.entity_id", "response_cost")
+    return usage.select(F.explode(pairs).alias("pair"), F.col("spend").alias("response_cost"), merged.alias("merged")).select(
+        "pair.entity_type", "pair.entity_id", "response_cost", "merged")
 
 
 def compact(pending: DataFrame) -> DataFrame:
     """Merge pending deltas by (type, id); a missing type is skipped, a missing id becomes ''."""
     known = pending.where(F.col("entity_type").isin(*ENTITY_COLUMNS))
     return known.groupBy("entity_type", F.coalesce("entity_id", F.lit("")).alias("entity_id")).agg(
-        sum_money("response_cost").alias("response_cost"))
+        sum_money("response_cost").alias("response_cost"), F.sum("merged").alias("merged"))
 
 
 def upsert_increment(stored: DataFrame, delta: DataFrame, key: Sequence[str], counters: Sequence[str]) -> DataFrame:

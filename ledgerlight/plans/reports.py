@@ -300,14 +300,15 @@ SELECT entity_type, coalesce(entity_id, '') AS entity_id, {MONEY} AS response_co
 
 
 def pending(t: Tables):
-    rows = R.with_entity_columns(t.usage(with_user=True), t.keys(), t.teams())
+    summed = R.summed_spend(t.usage(with_user=True), ["api_key", "user_id", "end_user", "agent_id", "model"])
+    rows = R.with_entity_columns(summed, t.keys(), t.teams())
     return R.deltas(rows, {k: R.ENTITY_COLUMNS[k] for k in ("key", "user", "end_user", "agent", "team", "org")}
                     | {"unknown_kind": "model"})
 
 
 @query("entity_totals", ENTITY_SQL)
 def entity_totals(t: Tables):
-    return R.compact(pending(t))
+    return R.compact(pending(t)).drop("merged")
 
 
 @query("queue_compaction", f"""
@@ -316,10 +317,7 @@ SELECT entity_type, entity_id, {MONEY} AS response_cost, count(*)::BIGINT AS mer
  UNION ALL SELECT 'agent', coalesce(agent_id, ''), spend_units, start_time FROM usage_rows)
 GROUP BY 1, 2""")
 def queue_compaction(t: Tables):
-    rows = R.deltas(t.usage(), {"key": "api_key", "agent": "agent_id"})
-    counted = rows.groupBy("entity_type", F.coalesce("entity_id", F.lit("")).alias("entity_id")).agg(
-        F.count(F.lit(1)).alias("merged"))
-    return R.compact(rows).join(counted, ["entity_type", "entity_id"])
+    return R.compact(R.deltas(R.summed_spend(t.usage(), ["api_key", "agent_id"]), {"key": "api_key", "agent": "agent_id"}))
 
 
 @query("upsert_increment", """
