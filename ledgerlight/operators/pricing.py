@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import cost as C
-from ledgerlight.functions.money import sum_money
+from ledgerlight.functions.money import from_units, sum_money, to_units
 from ledgerlight.sources.adapters import ntz
 
 
@@ -52,10 +52,19 @@ def tier_overlap_cost(requests: DataFrame, bands: DataFrame, key: str) -> DataFr
 
 
 def user_model_cost(usage: DataFrame) -> DataFrame:
-    """Current cost and cost per model of every user, one row per user and model."""
+    """Current cost and cost per model of every user, one row per user and model; requests without a user are a group too.
+
+    The window sees one row per model of a user, never requests.
+    """
     per_model = usage.groupBy("user_id", "model").agg(sum_money("spend").alias("model_cost"))
-    per_user = usage.groupBy("user_id").agg(sum_money("spend").alias("current_cost"))
-    return per_model.join(per_user, "user_id")
+    return per_model.withColumn("current_cost", from_units(F.sum(to_units("model_cost")).over(Window.partitionBy("user_id"))))
+
+
+def over_budget(usage: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(user_id, spend, max_budget, exceeded) of every user with a budget: spend at or above it; a null side means no check."""
+    spent = usage.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(sum_money("spend").alias("spend"))
+    return budgets.join(spent, "user_id", "left").select(
+        "user_id", "spend", "max_budget", F.coalesce(F.col("spend") >= F.col("max_budget"), F.lit(False)).alias("exceeded"))
 
 
 def provider_budget(usage: DataFrame, limits: DataFrame, since, until) -> DataFrame:

@@ -225,6 +225,16 @@ def user_model_cost(t: Tables):
     return P.user_model_cost(t.usage(with_user=True))
 
 
+@query("user_budget_check", """
+SELECT user_id, spend, max_budget, coalesce(spend >= max_budget, false) AS exceeded
+FROM (SELECT 'u' || c_custkey AS user_id, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal * 0.01 END AS max_budget FROM customer)
+LEFT JOIN (SELECT user_id, CAST(sum(spend_units) AS DOUBLE) / 10000000.0 AS spend FROM usage_full GROUP BY 1) USING (user_id)""")
+def user_budget_check(t: Tables):
+    budgets = t.raw("customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"),
+                                       F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal") * 0.01).alias("max_budget"))
+    return P.over_budget(t.usage(with_user=True), budgets)
+
+
 @query("provider_budget", """
 SELECT provider, coalesce(spend, 0) AS spend, budget_limit, budget_limit - coalesce(spend, 0) AS remaining,
        coalesce(spend, 0) >= budget_limit AS exhausted

@@ -306,9 +306,8 @@ def injection_hook(t: Tables):
 
 @query("fuzzy_injection")
 def fuzzy_injection(t: Tables):
-    users = t.raw("conversations").where("role = 'user'").select(
-        F.concat_ws("-", "conv_id", "turn").alias("message_id"), "text")
-    return IJ.fuzzy_injection(users, "message_id", "text")
+    messages = t.raw("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), "text")
+    return IJ.fuzzy_injection(messages, "message_id", "text")
 
 
 def signals_sql(rules, text: str = "text") -> str:
