@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import BLANK_WORDS
+from ledgerlight.session import written
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -56,7 +57,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def rates(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     """(size, source_size, target, copies, row): the last holds the columns of the input row."""
     sized = docs.select("source", "doc_id", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
-    goals = source_targets(sized).withColumnRenamed("source", "goal")
+    # Written first, one row per source: its size is known when the join is planned, so texts move only if it is large.
+    goals = written(source_targets(sized.select("source", "size"), **targets), "mix-targets").withColumnRenamed("source", "goal")
     joined = sized.join(goals, F.col("source").eqNullSafe(F.col("goal")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
