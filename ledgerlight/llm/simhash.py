@@ -86,27 +86,31 @@ def ball_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, key, component_id), one row per input row."""
+    """(fp, doc_id, key, root, component_id), one row per input row; root is the smallest fingerprint of the group."""
     marked = written(fingerprints(docs), "simhash-fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(ball_links(distinct.select("fp")), "simhash-links").toDF("fp", "root")
     grouped = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(grouped.select("fp", "root").join(named, "root").drop("root"), "fp")
+    return marked.join(grouped.select("fp", "root").join(named, "root"), "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id (then text hash), once."""
     found = near_duplicates(docs)
-    choice = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("kept"))
-    same = found.groupBy("doc_id", "key").agg(F.count("*").alias("_times")).toDF("_id", "_key", "_times")
-    kept = choice.select(F.col("kept.doc_id").alias("_id"), F.col("kept.key").alias("_key")).distinct()
-    kept = written(kept.join(same, kept["_id"].eqNullSafe(same["_id"]) & (kept["_key"] == same["_key"])).select(same["_id"], same["_key"], "_times"), "simhash-kept")
-    whole = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), F.struct("*").alias("row"))
-    chosen = whole.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
-    once = chosen.where("_times = 1").select("row.*")
-    # Only rows that occur several times have to meet.
-    return once.union(chosen.where("_times > 1").dropDuplicates(["id", "key"]).select("row.*"))
+    choice = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("kept"))
+    same = found.groupBy("doc_id", "key").agg(F.count("*").alias("times")).toDF("same_id", "same_key", "times")
+    kept = choice.select(F.col("kept.doc_id").alias("id"), F.col("kept.key").alias("key")).distinct()
+    kept = written(kept.join(same, F.col("id").eqNullSafe(F.col("same_id")) & (F.col("key") == F.col("same_key"))).select("id", "key", "times"), "simhash-kept")
+    whole = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"), F.struct("*").alias("row"))
+
+    def chosen(some: DataFrame) -> DataFrame:
+        return whole.join(some, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
+
+    once = chosen(kept.where("times = 1")).select("row.*")
+    # Only rows that occur several times have to meet; their table is mostly small enough to leave the texts where they are.
+    again = written(kept.where("times > 1"), "simhash-kept-again")
+    return once.union(chosen(again).dropDuplicates(["own_id", "own_key"]).select("row.*"))
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
