@@ -207,7 +207,7 @@ def _unpacked(s: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
 
 def logistic(rows: np.ndarray, terms: np.ndarray, target: np.ndarray, weight: np.ndarray, n_terms: int, rounds: int = 12) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression on present terms: Newton steps solved by conjugate gradients."""
-    ridge = np.append(np.full(n_terms, 0.2), 0.0)
+    ridge = np.append(np.full(n_terms, 0.1), 0.0)
 
     def forward(v: np.ndarray) -> np.ndarray:
         return np.bincount(rows, v[terms], len(target)) + v[-1]
