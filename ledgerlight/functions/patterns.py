@@ -16,9 +16,57 @@ from pyspark.sql import functions as F
 _ASCII_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+_OPENING, _CLOSING = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
+
+def _alternatives(group: str) -> list[str]:
+    """Top-level alternatives of the inside of a group; one empty one where brackets or escapes make them unclear."""
+    if re.search(r"\\[|()\[\]]|\[[^\]]*[|()][^\]]*\]", group):
+        return [""]
+    parts, depth = [""], 0
+    for c in group:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def _group_at(pattern: str, start: int) -> int:
+    """Where the plain group that opens at *start* ends; -1 if it isn't one."""
+    if not pattern.startswith("(?:", start) or re.search(r"\\[()]|\[[^\]]*[()][^\]]*\]", pattern):
+        return -1
+    depth = 0
+    for i in range(start, len(pattern)):
+        depth += (pattern[i] == "(") - (pattern[i] == ")")
+        if not depth:
+            return i + 1
+    return -1
+
+
+def _edge(before: str, after: str) -> str:
+    """A word edge between two parts of a pattern: one-sided where the part beside it surely is a word character."""
+    if re.match(r"[A-Za-z0-9_](?![?*{])", after):
+        return _OPENING
+    if re.search(r"(?<!\\)[A-Za-z0-9_]$", before) and not re.search(r"\(\?[a-z]*$", before):
+        return _CLOSING
+    end = _group_at(after, 0)
+    if end > 0 and after[end:end + 1] not in ("?", "*", "{") and all(re.match(r"[A-Za-z0-9_](?![?*{])", p) for p in _alternatives(after[3:end - 1])):
+        return _OPENING
+    starts = [i for i in range(len(before)) if _group_at(before, i) == len(before)]
+    if starts and all(re.search(r"(?<!\\)[A-Za-z0-9_]$|(?<!\\)[A-Za-z0-9_][A-Za-z0-9_]\?$", p) for p in _alternatives(before[starts[0] + 3:-1])):
+        return _CLOSING
+    return _ASCII_EDGE
+
+
 def ascii_words(pattern: str, flags: str = "im") -> str:
     """Pattern whose word edges are ASCII."""
-    return f"(?{flags}d)" + pattern.replace(r"\b", _ASCII_EDGE)
+    pieces = pattern.split(r"\b")
+    out = pieces[0]
+    for i, piece in enumerate(pieces[1:]):
+        out += _edge(pieces[i], piece) + piece
+    return f"(?{flags}d)" + out
 
 
 def unicode_words(pattern: str, flags: str = "i") -> str:
