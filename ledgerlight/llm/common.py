@@ -10,7 +10,7 @@ from ledgerlight.session import tune, written
 BLANK_WORDS = "[^\\x20\\x09-\\x0D]+"
 
 # Bytes of text that travel to a Python worker at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

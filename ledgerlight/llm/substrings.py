@@ -34,7 +34,7 @@ from ledgerlight.session import written
 
 LENGTH = 50
 ANCHOR = 10
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_runs(texts: pa.Array, length: int, anchor: int) -> Iterator[dict[str, np.ndarray]]:
@@ -132,7 +132,7 @@ def cut(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFram
     joined = keyed.alias("d").join(marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.key") == F.col("m.key")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(low, high - low) for whole in batches for low, high in slices(buffers(whole["text"])[1], SLICE_BYTES)):
             sizes, gone, kept, digests = [], [], [], []
             for text, stretches in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["stretches"]):
                 words, removed = text.split(), 0
