@@ -16,9 +16,9 @@ components, one link for each vector to the root of its tree in the task.  Cells
 blocks is a group of its own, so no group exceeds two blocks.  Equal vectors are one row with a multiplicity.
 
 Defined cases: null or empty vectors, those with a null or non-finite component, and zero vectors link with nothing, not
-even with their copies; repeated rows (also with one vec_id) are vectors of their own; vectors of another length than
-the most frequent one link with nothing; a null vec_id takes part but names no component; an empty table gives an empty
-result; other columns are not read.
+even with their copies; repeated rows (also with one vec_id) are vectors of their own; vectors of different lengths never
+link, each length has a plan, lists and groups of its own; a null vec_id takes part but names no component; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -81,18 +81,22 @@ def unit_rows(vectors: pa.Array, size: int) -> np.ndarray:
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def listed(distinct: DataFrame, plan: Plan) -> DataFrame:
-    """(list, cell, node) of every vector in every list."""
+def listed(distinct: DataFrame, plans: dict[int, Plan]) -> DataFrame:
+    """(size, list, cell, node) of every vector in every list of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 4096):
-                part = batch.slice(low, 4096)
-                cell, _ = plan.keys(unit_rows(part["vector"], plan.size))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(plan.lists, dtype=np.int32), len(part))), pa.array(cell.ravel()), pa.array(np.repeat(np.asarray(part["node"]), plan.lists))],
-                                                 ["list", "cell", "node"])
+                some = batch.slice(low, 4096)
+                sizes = np.asarray(some["size"])
+                for size in np.unique(sizes).tolist():
+                    part, plan = some.filter(pa.array(sizes == size)), plans[size]
+                    cell, _ = plan.keys(unit_rows(part["vector"], size))
+                    number = np.tile(np.arange(plan.lists, dtype=np.int32), len(part))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), size, np.int32)), pa.array(number), pa.array(cell.ravel()), pa.array(np.repeat(np.asarray(part["node"]), plan.lists))],
+                                                     ["size", "list", "cell", "node"])
 
-    return distinct.select("node", "vector").mapInArrow(run, "list int, cell bigint, node bigint")
+    return distinct.select("size", "node", "vector").mapInArrow(run, "size int, list int, cell bigint, node bigint")
 
 
 def block_pairs(left: np.ndarray, right: np.ndarray | None, number: int, units, cells, places, plan: Plan, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -141,10 +145,11 @@ def unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def linked(rows: DataFrame, plan: Plan, cosine: float) -> DataFrame:
-    """(node, links, tree): partial link counts, weighted by multiplicity, and the smallest node of its tree, from groups of cells."""
+def linked(rows: DataFrame, plans: dict[int, Plan], cosine: float) -> DataFrame:
+    """(node, links, tree): partial link counts, weighted by multiplicity, and the smallest node of its tree, from groups of cells of one length."""
 
     def run(table: pa.Table) -> pa.Table:
+        plan = plans[table["size"][0].as_py()]
         node, times = np.asarray(table["node"]), np.asarray(table["times"])
         # Each vector once, however many cells of the group it is in.
         every, at = np.unique(node, return_index=True)
@@ -174,7 +179,7 @@ def linked(rows: DataFrame, plan: Plan, cosine: float) -> DataFrame:
         touched = links > 0
         return pa.table([pa.array(every[touched]), pa.array(links[touched]), pa.array(every[tree[touched]])], ["node", "links", "tree"])
 
-    return rows.groupBy("group").applyInArrow(run, "node bigint, links bigint, tree bigint")
+    return rows.groupBy("size", "group").applyInArrow(run, "node bigint, links bigint, tree bigint")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -184,22 +189,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     length = F.size("vector")
     sound = F.col("vector").isNotNull() & (length > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    usual = rows.where("sound").groupBy(length.alias("length")).count().orderBy(F.desc("count"), "length").first()
-    size = usual.length if usual else 1
-    rows = rows.withColumn("sound", F.col("sound") & (length == size))
     # A vector's node is a hash of its components; the hashes of different vectors are taken as different.
     rows = written(rows.withColumn("node", F.when(F.col("sound"), F.xxhash64("vector"))), "vector-rows")
-    distinct = written(rows.where("sound").groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("times"), F.min("vec_id").alias("smallest")), "vector-distinct")
-    plan = Plan.of(distinct.count(), size, cosine, recall)
-    lists = written(listed(distinct, plan), "vector-lists")
-    cells = written(lists.groupBy("list", "cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "vector-cells")
+    distinct = written(rows.where("sound").groupBy("node").agg(F.first("vector").alias("vector"), F.first(length).alias("size"), F.count("*").alias("times"), F.min("vec_id").alias("smallest")), "vector-distinct")
+    plans = {r["size"]: Plan.of(r["count"], r["size"], cosine, recall) for r in distinct.groupBy("size").count().collect()}
+    lists = written(listed(distinct, plans), "vector-lists")
+    cells = written(lists.groupBy("size", "list", "cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "vector-cells")
     # A vector of block i meets every block; (low, high) names the pair of blocks.
     own = F.pmod(F.xxhash64("node", "list"), F.col("blocks")).cast("int")
-    met = lists.join(cells, ["list", "cell"]).select("list", "cell", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("list", "cell", "node", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    groups = max(1, -(-lists.count() // GROUP_ROWS))
-    met = met.withColumn("group", F.pmod(F.xxhash64("list", "cell", "low", "high"), F.lit(groups)))
-    found = written(linked(met.join(distinct.select("node", "vector", "times"), "node"), plan, cosine), "vector-links")
+    met = lists.join(cells, ["size", "list", "cell"]).select("size", "list", "cell", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("size", "list", "cell", "node", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    # Rare lengths get few groups, or each of their cells would be a task's call of its own.
+    groups = [F.lit(x) for r in lists.groupBy("size").count().collect() for x in (r["size"], -(-r["count"] // GROUP_ROWS))]
+    met = met.withColumn("group", F.pmod(F.xxhash64("list", "cell", "low", "high"), F.create_map(*groups)[F.col("size")] if groups else F.lit(1)))
+    found = written(linked(met.join(distinct.select("node", "vector", "times"), "node"), plans, cosine), "vector-links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = distinct.select("node", "times", F.coalesce("smallest", F.lit((1 << 63) - 1)).alias("smallest"))
     roots = components(found.where("node != tree").select("node", "tree"), "vector-components").toDF("node", "root")

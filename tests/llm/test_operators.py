@@ -348,6 +348,19 @@ def test_vectors_hot_cell_in_blocks(llm, monkeypatch):
     assert sum(r.component_id == expected[r.vec_id][2] for r in got) >= 198
 
 
+def test_vectors_of_two_lengths(llm):
+    draw = np.random.default_rng(8)
+    rows = []
+    for size, many in ((16, 60), (24, 40), (5, 2)):
+        centre = draw.standard_normal((5, size))
+        rows += [(100 * size + i, (centre[i % 5] + 0.1 * draw.standard_normal(size)).tolist()) for i in range(many)]
+    rows += [(1, rows[60][1]), (2, rows[100][1]), (3, rows[0][1][:5])]
+    expected = brute.vector_rows(rows)
+    assert sum(r[1] for r in expected if 2400 <= r[0] < 2500) >= 100 and expected[-2][1] >= 1
+    frame = llm.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    assert plain(collisions.near_duplicates(frame), "vec_id", "n_links", "component_id", "kept") == sorted(expected, key=repr)
+
+
 def test_vectors_table(llm, sf_dir):
     rows = table_rows(llm, sf_dir, "embeddings", "vec_id", "embedding")
     assert plain(QUERIES["op8_collision_counting"](llm, sf_dir), "vec_id", "n_links", "component_id", "kept") == sorted(brute.vector_rows(rows), key=repr)
