@@ -60,6 +60,11 @@ def raw_view(text: Column) -> Column:
     return F.array(text)
 
 
+def hook_views(text: Column) -> Column:
+    """Raw text and the hook's normal form, in which split words are joined and encoded runs decoded."""
+    return F.array(text, N.normalize_hook(text))
+
+
 def _rank(severity: Column) -> Column:
     return F.when(severity == "high", 3).when(severity == "medium", 2).otherwise(1)
 

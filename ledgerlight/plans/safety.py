@@ -301,7 +301,7 @@ SELECT *, CASE WHEN risk = 'low' THEN 'allow' ELSE 'sanitize' END AS action FROM
         least(100, max(weight) + (count(DISTINCT category) - 1) * 10)::INT AS score,
         max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS sev FROM rule_hits GROUP BY 1))""")
 def injection_hook(t: Tables):
-    return IJ.injection_hook(t.documents(), "doc_id", IJ.raw_view(F.col("text")), RULES)
+    return IJ.injection_hook(t.documents(), "doc_id", IJ.hook_views(F.col("text")), RULES)
 
 
 @query("fuzzy_injection")
