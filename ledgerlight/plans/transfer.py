@@ -7,8 +7,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import billing as B
+from ledgerlight.operators import detectors as DT
+from ledgerlight.operators import dlp as L
 from ledgerlight.plans.exports import frame
 from ledgerlight.plans.registry import query
+from ledgerlight.plans.safety import TODAY
 from ledgerlight.session import fresh_path
 from ledgerlight.sources import readers as RD
 from ledgerlight.sources import writers as W
@@ -217,3 +220,27 @@ def dataset_export_assistant(t: Tables):
     rows = t.telemetry().withColumn("sanitized_text", F.lit("sanitized"))
     labels = t.telemetry().select("request_id", (F.col("score") >= 50).alias("approved"), F.lit("attack").alias("label"))
     return W.dataset_export(rows, labels, "assistant")
+
+
+def conversation_export(t: Tables, kind: str):
+    """Every turn of the approved conversations as a chat line, redacted and without override phrases.
+
+    A conversation's request is the one with its number.  A turn is a row of its own, so a conversation of any
+    length is never gathered.
+    """
+    turns = t.raw("conversations").select(F.col("conv_id").alias("request_id"), "turn", "role", "text")
+    content = DT.sanitize_prompt(F.col("redacted")).alias("content")
+    texts = L.dlp_redact(turns, "text", TODAY).select("request_id", F.to_json(F.struct("turn", "role", content)).alias("sanitized_text"))
+    labels = t.telemetry().select("request_id", "status", "risk", "created_at", (F.col("score") >= 50).alias("approved"),
+                                  F.lit("attack").alias("label"), F.array("stage").alias("rule_ids"))
+    return W.dataset_export(texts, labels, kind)
+
+
+@query("dataset_export_conversations")
+def dataset_export_conversations(t: Tables):
+    return conversation_export(t, "security").withColumn("rule_ids", F.array_join("rule_ids", ","))
+
+
+@query("dataset_export_conversations_assistant")
+def dataset_export_conversations_assistant(t: Tables):
+    return conversation_export(t, "assistant")
