@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.patterns import ascii_words, matches
-from ledgerlight.operators.ordered import ordinals, trailing_count, trailing_rows
+from ledgerlight.operators.ordered import epoch_micros, ordinals, trailing_count, trailing_rows
 
 # Windows, weights, bands and patterns.
 PROBE_WINDOW, PAYLOAD_WINDOW, EARLY_MESSAGES = 10, 5, 5
 VELOCITY_SECONDS, VELOCITY_LIMIT = 60, 10
+PROBE_SILENCE_SECONDS = 30 * 60
 WEIGHTS = {"high": 40, "medium": 20, "low": 5}
 HIGH_PATTERNS = (
     r"\b(?:ignore|disregard)\b[\s\S]{0,40}\b(?:previous|prior|earlier|all)\b[\s\S]{0,30}\b(?:instructions?|directives?|prompts?)\b",
@@ -55,9 +56,19 @@ def numbered(messages: DataFrame) -> DataFrame:
 
 
 def repeated_probing(flags: DataFrame) -> DataFrame:
-    """Warnings among the last ten messages: two are medium, three or more high (needs numbered flags)."""
-    counted = trailing_rows(flags, ["conv_id"], "ordinal", PROBE_WINDOW, {"probes": F.sum(F.col("warned").cast("int"))})
-    return counted.withColumn("probing", F.when(F.col("probes") >= 3, "high").when(F.col("probes") == 2, "medium"))
+    """Warnings among the last ten messages: two are medium, three or more high (needs numbered flags).
+
+    More than 30 minutes of silence forget all earlier warnings, so only messages since the last such pause count.
+    """
+    before = trailing_rows(flags, ["conv_id"], "ordinal", 1, {"_before": F.max("ts")}, include_current=False)
+    opens = epoch_micros("ts") - epoch_micros("_before") > PROBE_SILENCE_SECONDS * 1_000_000
+    recent = trailing_rows(before.withColumn("_opens", opens), ["conv_id"], "ordinal", PROBE_WINDOW, {
+        "_start": F.max(F.when(F.col("_opens"), F.col("ordinal"))),
+        "_recent": F.collect_list(F.when(F.col("warned").isNotNull(), F.struct("ordinal", F.col("warned").cast("int").alias("warned"))))})
+    counted = F.filter("_recent", lambda m: m["ordinal"] >= F.coalesce(F.col("_start"), F.lit(0)))
+    probes = F.when(F.size(counted) > 0, F.aggregate(counted, F.lit(0).cast("bigint"), lambda n, m: n + m["warned"]))
+    return recent.withColumn("probes", probes).drop("_before", "_opens", "_start", "_recent").withColumn(
+        "probing", F.when(F.col("probes") >= 3, "high").when(F.col("probes") == 2, "medium"))
 
 
 def payload_splitting(messages: DataFrame, high: Sequence[str] = HIGH_PATTERNS) -> DataFrame:
