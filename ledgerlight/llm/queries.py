@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlight.llm import collisions, decontaminate, lm, mixing, placement, simhash, substrings, toxicity, urls, warc
+from ledgerlight.llm import alignment, audit, collisions, decontaminate, lm, metric_search, mixing, placement, simhash, substrings, toxicity, urls, warc
 from ledgerlight.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,61 @@ def op10(spark, sf_dir):
 @query("op8_collision_counting")
 def op8(spark, sf_dir):
     return collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+TOP_SQL = """
+WITH whole AS (
+    SELECT row_number() OVER () AS number, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ranked AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
+           row_number() OVER (PARTITION BY q.number ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
+    FROM whole q JOIN whole c ON q.number <> c.number AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op11_exact_top_k", TOP_SQL)
+def op11(spark, sf_dir):
+    return metric_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark, sf_dir):
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
+AUDIT_SQL = """
+WITH texts AS (SELECT doc_id, COALESCE(source, '') AS part, COALESCE(text, '') AS text FROM documents),
+words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM texts),
+marked AS (
+    SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS failed FROM words),
+named AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+kinds AS (
+    SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM marked LEFT JOIN named USING (doc_id) GROUP BY part, failed),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+    SELECT [a.x, b.x, c.x, d.x, e.x] AS xs, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (
+    SELECT array_to_string(xs, '') AS filter_order, step::INT AS step, bits[step] AS own, COALESCE(list_sum(bits[:step - 1]), 0)::INT AS before
+    FROM orders, unnest([1, 2, 3, 4, 5]) AS s(step)),
+counted AS (
+    SELECT part, filter_order, step, own, COALESCE(sum(n) FILTER ((failed & (before | own)) = 0), 0) AS kept,
+           COALESCE(sum(n) FILTER ((failed & before) = 0 AND (failed & own) > 0), 0) AS removed,
+           COALESCE(sum(n) FILTER ((failed & before) > 0 AND (failed & own) > 0), 0) AS redundant,
+           COALESCE(sum(n) FILTER (failed = own), 0) AS unique_fails,
+           COALESCE(sum(good) FILTER ((failed & before) = 0 AND (failed & own) > 0), 0) AS good_lost,
+           COALESCE(sum(toxic) FILTER ((failed & before) = 0 AND (failed & own) > 0), 0) AS toxic_lost
+    FROM kinds, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted
+"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13(spark, sf_dir):
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
