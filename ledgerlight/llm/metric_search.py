@@ -10,8 +10,9 @@ page below; an entry of a leaf holds a row and its distance to the page's routin
 
 Queries are cut into blocks of neighbours.  A block first visits the shards of its own cell; its k best so far bound
 the distance, and only cells whose ball can hold something nearer are visited after that.  Within a tree the search is
-best-first: pages wait in a heap by the least distance that their ball allows; an entry is skipped without computing a
-distance when |d(q, parent) - d(entry, parent)| minus its radius is already too far.  Bounds carry a slack beyond the
+best-first for the queries of a block together: pages wait in a heap, with the queries that may need them, by the least
+distance that their ball allows; an entry is skipped without computing a distance when |d(q, parent) - d(entry, parent)|
+minus its radius is already too far.  Bounds carry a slack beyond the
 rounding of doubles; scores are exact integers.  Nothing is approximate, so recall is 1 by construction.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of different lengths
@@ -41,6 +42,8 @@ SAMPLE = 2048
 CELLS = 256
 LONGEST = (1 << 63) - 1
 NO_ID = np.iinfo(np.int64).max
+# No score: the k best are not known yet.
+NOTHING = np.iinfo(np.int64).min
 
 
 def whole(column: Column) -> Column:
@@ -51,12 +54,12 @@ def whole(column: Column) -> Column:
     return F.when(~bad, F.transform(column, step))
 
 
-def scores(query: np.ndarray, rows: np.ndarray, exact: bool) -> np.ndarray:
-    """Integer inner products; *exact*: doubles hold every partial sum."""
+def scores(queries: np.ndarray, rows: np.ndarray, exact: bool) -> np.ndarray:
+    """Integer inner products of every query and row; *exact*: doubles hold every partial sum."""
     if exact:
-        return np.rint(rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    found = [sum(int(a) * int(b) for a, b in zip(row, query)) for row in rows]
-    return np.array([max(-LONGEST, min(LONGEST, x)) for x in found], dtype=np.int64)
+        return np.rint(queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
+    found = queries.astype(object) @ rows.astype(object).T if queries.shape[1] else np.zeros((len(queries), len(rows)), object)
+    return np.clip(found, -LONGEST, LONGEST).astype(np.int64)
 
 
 class Space:
@@ -75,15 +78,13 @@ class Space:
     def queries(self, vectors: np.ndarray) -> np.ndarray:
         return np.column_stack([vectors.astype(np.float64), np.zeros(len(vectors))])
 
-    def reach(self, base: float, worst: int | None) -> float:
-        """The distance beyond which rows score below *worst*; *base* is the query's squared norm and the largest of the rows."""
-        return np.inf if worst is None else float(np.sqrt(max(base - 2.0 * worst, 0))) + self.slack
+    def reach(self, base: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """The distances beyond which rows score below *worst*; *base* is a query's squared norm and the largest of the rows."""
+        return np.where(worst == NOTHING, np.inf, np.sqrt(np.maximum(base - 2.0 * worst, 0)) + self.slack)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """From every row of a to every row of b, by differences: no cancellation between near rows."""
-    if len(a) * len(b) <= 4 * PAGE * PAGE:
-        return np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    """From every row of a to every row of b; the rounding is far below a space's slack."""
     square = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None] - 2 * (a @ b.T)
     return np.sqrt(np.maximum(square, 0))
 
@@ -154,48 +155,51 @@ class Shard:
         self.entry_points, self.entry_rows = self.points[tree.item], vectors[tree.item]
         self.computed = 0
 
-    def best(self, query: np.ndarray, own: int, k: int, worst: int | None = None) -> list[tuple[int, int, int]]:
-        """The k best rows as (-score, id, row number); *own* is left out, and so may be rows that score below *worst*."""
-        found: list[tuple[int, int, int]] = []
-        if not len(self.tree.router):
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int, worst: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        """For every query of a block the k best rows as (-score, id, row number).
+
+        *own* rows are left out, and so may be rows that score below *worst* (NOTHING where no bound is known).  A page
+        waits in the heap with those queries that may need it and leaves it by the least of their distances.
+        """
+        found: list[list[tuple[int, int, int]]] = [[] for _ in queries]
+        if not len(self.tree.router) or not len(queries):
             return found
-        space, tree = self.space, self.tree
-        point = np.append(query.astype(np.float64), 0.0)
-        base = float(point @ point) + space.largest
-        root = float(np.sqrt(((point - self.points[tree.router[0]]) ** 2).sum()))
-        heap, limit = [(0.0, 0, root)], space.reach(base, worst)
+        space, tree, worst = self.space, self.tree, worst.copy()
+        points = space.queries(queries)
+        base = np.einsum("ij,ij->i", points, points) + space.largest
+        limit, everyone = space.reach(base, worst), np.arange(len(queries))
+        heap = [(0.0, 0, everyone, np.zeros(len(queries)), distances(points, self.points[tree.router[:1]])[:, 0])]
         while heap:
-            least, number, to_router = heapq.heappop(heap)
-            if least > limit:
-                break
+            _, number, active, least, to_router = heapq.heappop(heap)
+            open_ = least <= limit[active]
+            active, to_router = active[open_], to_router[open_]
             low, high = tree.first[number], tree.first[number + 1]
-            # Stored distances first: what they rule out is never computed.
-            may = np.flatnonzero(np.abs(to_router - tree.parent[low:high]) - tree.radius[low:high] <= limit) + low
-            if not len(may):
+            # Stored distances first: what they rule out for all queries is never computed.
+            may = np.abs(to_router[:, None] - tree.parent[low:high]) - tree.radius[low:high] <= limit[active][:, None]
+            entries, rows = np.flatnonzero(may.any(axis=0)), np.flatnonzero(may.any(axis=1))
+            if not len(entries):
                 continue
-            self.computed += len(may)
+            active, at = active[rows], entries + low
+            self.computed += len(active) * len(at)
             if tree.child[low] < 0:
-                value = scores(query, self.entry_rows[may], space.exact)
-                if worst is not None:
-                    near = value >= worst
-                    may, value = may[near], value[near]
-                if len(may) > 2 * k:
-                    # One more than k, as the query's own row may be among them.
-                    near = value >= np.partition(value, len(value) - k - 1)[len(value) - k - 1]
-                    may, value = may[near], value[near]
-                items = tree.item[may]
-                some = [(-int(s), int(i), int(n)) for s, i, n in zip(value, self.ids[items], self.numbers[items]) if n != own]
-                if some:
-                    found = sorted(found + some)[:k]
-                    if len(found) == k:
-                        worst = -found[-1][0] if worst is None else max(worst, -found[-1][0])
-                        limit = space.reach(base, worst)
+                value = scores(queries[active], self.entry_rows[at], space.exact)
+                better = value >= worst[active][:, None]
+                for row in np.flatnonzero(better.any(axis=1)).tolist():
+                    q = active[row]
+                    mine = np.flatnonzero(better[row])
+                    items = tree.item[at[mine]]
+                    some = [(-int(s), int(i), int(n)) for s, i, n in zip(value[row][mine], self.ids[items], self.numbers[items]) if n != own[q]]
+                    found[q] = sorted(found[q] + some)[:k]
+                    if len(found[q]) == k:
+                        worst[q] = max(worst[q], -found[q][-1][0])
+                limit[active] = space.reach(base[active], worst[active])
             else:
-                away = np.sqrt(((self.entry_points[may] - point) ** 2).sum(axis=1))
-                floor = away - tree.radius[may]
-                for e, d, f in zip(may, away, floor):
-                    if f <= limit:
-                        heapq.heappush(heap, (max(float(f), 0.0), int(tree.child[e]), float(d)))
+                away = distances(points[active], self.entry_points[at])
+                floor = np.maximum(away - tree.radius[at], 0)
+                near = floor <= limit[active][:, None]
+                for j in np.flatnonzero(near.any(axis=0)).tolist():
+                    keep = near[:, j]
+                    heapq.heappush(heap, (float(floor[keep, j].min()), int(tree.child[at[j]]), active[keep], floor[keep, j], away[keep, j]))
         return found
 
 
@@ -261,8 +265,8 @@ def searched(pairs: DataFrame, spaces: dict[int, Space], k: int) -> DataFrame:
                 shard = Shard(MTree.unpack(get("pages")), longs("vectors").reshape(-1, size) if size else np.zeros((len(longs("ids")), 0), np.int64), longs("ids"), longs("numbers"), spaces[size])
                 ids, numbers = longs("query_ids"), longs("query_numbers")
                 asked = longs("asked").reshape(-1, size) if size else np.zeros((len(ids), 0), np.int64)
-                bounds = get("bounds") or [None] * len(ids)
-                out = [(numbers[i], ids[i], -s, v, n) for i in range(len(ids)) for s, v, n in shard.best(asked[i], int(numbers[i]), k, bounds[i])]
+                bounds = np.array([NOTHING if x is None else x for x in get("bounds") or [None] * len(ids)], dtype=np.int64)
+                out = [(numbers[i], ids[i], -s, v, n) for i, found in enumerate(shard.best(asked, numbers, k, bounds)) for s, v, n in found]
                 columns = [pa.array(np.array([x[c] for x in out], dtype=np.int64)) for c in range(5)]
                 yield pa.RecordBatch.from_arrays(columns, ["query_number", "query_id", "score", "vec_id", "number"])
 
@@ -339,7 +343,7 @@ def visiting(blocks: DataFrame, spaces: dict[int, Space], pivots: dict[int, np.n
                 known = dict(row["known"])
                 bounds = [known[n] for n in numbers.tolist()]
                 base = np.einsum("ij,ij->i", points, points) + space.largest
-                reach = np.array([space.reach(b, worst) for b, worst in zip(base, bounds)])
+                reach = space.reach(base, np.array([NOTHING if x is None else x for x in bounds], dtype=np.int64))
                 away = distances(points, pivots[size])
                 for (_, cell), (radius, _n) in sorted(x for x in balls.items() if x[0][0] == size and x[0][1] != own):
                     need = np.flatnonzero(away[:, cell] - radius - space.slack <= reach)
