@@ -45,9 +45,9 @@ BLOCK_BUCKETS = 64
 FAN_IN = 32
 # Counting tasks hold a dense vector each, so there are not arbitrarily many of them.
 COUNTING_TASKS = 8192
-TEXT_BYTES = 8 << 20
-ID_BYTES = 4 << 20
-KNOWN_PIECES = 300_000
+TEXT_BYTES = 4 << 20
+ID_BYTES = 2 << 20
+KNOWN_PIECES = 250_000
 
 # Fixed value: the pre-tokenizer pattern of the byte-level vocabulary.
 A_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
