@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,11 @@ BLOCK_BYTES = 16 << 20
 
 
 class Patterns:
-    """The windows of a block of items: word hashes, one row each, with the item and place they come from."""
+    """The different windows of a block of items, and the items and places that each comes from.
+
+    A width's windows are searched once, however many items share them: windows[i] is a row of word hashes that stands
+    at item[k], place[k] for k in first[i]:first[i + 1].
+    """
 
     def __init__(self, ids: list, texts: pa.Array, window: int):
         words = words_of(texts, NON_ALNUM, lower=True)
@@ -49,7 +54,23 @@ class Patterns:
         many = counts[rows] - width + 1
         item = np.repeat(rows, many)
         place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return hashes[(first[item] + place)[:, None] + np.arange(width)] if len(item) else np.zeros((0, width), np.uint64), item, place
+        every = hashes[(first[item] + place)[:, None] + np.arange(width)] if len(item) else np.zeros((0, width), np.uint64)
+        windows, which = np.unique(every, axis=0, return_inverse=True)
+        order = np.argsort(which.reshape(-1), kind="stable")
+        return Windows(windows, np.searchsorted(which.reshape(-1)[order], np.arange(len(windows) + 1)), item[order], place[order])
+
+
+@dataclass
+class Windows:
+    windows: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+    def sources(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every window of *which* its sources: (index into which, index into item and place)."""
+        many = self.first[which + 1] - self.first[which]
+        return np.repeat(np.arange(len(which)), many), np.arange(many.sum()) + np.repeat(self.first[which] - np.cumsum(many) + many, many)
 
 
 def suffix_array(ids: np.ndarray) -> np.ndarray:
@@ -93,8 +114,8 @@ def search(ids: np.ndarray, order: np.ndarray, patterns: np.ndarray) -> tuple[np
     return bound(False), bound(True)
 
 
-def occurrences(words, blocks: list[Callable[[], Patterns]]) -> Iterator[tuple[Patterns, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block: flat word position, width, item row and item place of every occurrence of a window.
+def occurrences(words, blocks: list[Callable[[], Patterns]]) -> Iterator[tuple[Patterns, np.ndarray, np.ndarray, Windows]]:
+    """Per block and width: flat word position and number of the window of every occurrence of a different window.
 
     The flat positions count one separator after every document.
     """
@@ -113,20 +134,21 @@ def occurrences(words, blocks: list[Callable[[], Patterns]]) -> Iterator[tuple[P
         ids[own] = inverse + 1
         shards.append((low, known, ids, suffix_array(ids)))
     for block in blocks:
-        patterns, parts = block(), []
-        for low, known, ids, order in shards:
-            for windows, item, place in [patterns.whole, *patterns.short]:
-                if not len(windows) or not len(known):
+        patterns = block()
+        for own in [patterns.whole, *patterns.short]:
+            parts = []
+            for low, known, ids, order in shards:
+                if not len(own.windows) or not len(known):
                     continue
-                at = np.minimum(np.searchsorted(known, windows), len(known) - 1)
-                there = np.flatnonzero((known[at] == windows).all(axis=1))
+                at = np.minimum(np.searchsorted(known, own.windows), len(known) - 1)
+                there = np.flatnonzero((known[at] == own.windows).all(axis=1))
                 first, last = search(ids, order, at[there] + 1)
                 many = last - first
                 total = int(many.sum())
                 spots = order[np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)] + low
-                parts.append((spots, np.full(total, windows.shape[1]), np.repeat(item[there], many), np.repeat(place[there], many)))
-        if parts:
-            yield (patterns, *(np.concatenate(x) for x in zip(*parts)))
+                parts.append((spots, np.repeat(there, many)))
+            if parts:
+                yield (patterns, *(np.concatenate(x) for x in zip(*parts)), own)
 
 
 def _blocks(benchmark: DataFrame) -> list[Callable[[], Patterns]]:
@@ -168,11 +190,14 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             bounds = words.first + np.arange(documents + 1)
             edges = np.zeros(int(bounds[-1]) + 1, dtype=np.int32)
             items: list[set] = [set() for _ in range(documents)]
-            for patterns, spots, width, item, _ in occurrences(words, blocks):
+            for patterns, spots, which, own in occurrences(words, blocks):
                 np.add.at(edges, spots, 1)
-                np.add.at(edges, spots + width, -1)
+                np.add.at(edges, spots + own.windows.shape[1], -1)
+                # Each different window counts once a document, then each of its items once.
                 row = np.searchsorted(bounds, spots, side="right") - 1
-                for r, i in np.unique(np.stack([row, item], axis=1), axis=0):
+                row, which = np.divmod(np.unique(row * len(own.windows) + which), max(1, len(own.windows)))
+                at, source = own.sources(which)
+                for r, i in zip(*np.divmod(np.unique(row[at] * len(patterns.ids) + own.item[source]), max(1, len(patterns.ids)))):
                     items[r].add(patterns.ids[i])
             covered = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
             hit = covered[bounds[1:]] - covered[bounds[:-1]] if documents else np.zeros(0, np.int64)
@@ -195,8 +220,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             words = words_of(batch["text"], NON_ALNUM, lower=True)
             bounds = words.first + np.arange(len(words.counts) + 1)
-            for patterns, spots, width, item, place in occurrences(words, blocks):
-                keys = np.unique(np.stack([item, spots - place, spots, width], axis=1), axis=0)
+            for patterns, spots, which, own in occurrences(words, blocks):
+                at, source = own.sources(which)
+                spots, item, place = spots[at], own.item[source], own.place[source]
+                keys = np.unique(np.stack([item, spots - place, spots, np.full(len(spots), own.windows.shape[1])], axis=1), axis=0)
                 item, diagonal, spots, width = keys.T
                 opens = np.ones(len(keys), dtype=bool)
                 opens[1:] = (np.diff(item) != 0) | (np.diff(diagonal) != 0) | (np.diff(spots) != 1)
