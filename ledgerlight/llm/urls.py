@@ -2,10 +2,11 @@
 
 Path segments that vary (they hold digits or hexadecimal tokens) become wildcards at once, so the tree is built over
 templates, not pages: pages are summed to (host, template) before anything else, and a host with a third of all pages
-is a few partial sums.  Level by level, nodes with many small literal children replace those by a wildcard.  Branches
-that differ in their first literal segment only are merged if their share of bad labels differs by chance at most (a
-two-proportion test).  A template is rejected if its purity, the share of good labels smoothed towards that of all
-pages, is too low.  Labels belong to pages by id.
+is a few partial sums.  Level by level, nodes with many small literal children replace those by a wildcard.  Then every
+node of the tree, at any depth, is compared with its parent: branches whose share of bad labels differs from the parent's
+by chance at most (a test of proportions) are merged with their siblings and judged by the parent; any other branch has its
+own purity, the share of good labels smoothed towards the parent's.  A template is rejected if the purity of its last node
+is too low.  Labels belong to pages by id.
 
 Defined cases: a null url, or one without `://`, has empty host and path and the template of its own empty path;
 repeated rows count as often as they occur; a null page_id has no label; without labels nothing is rejected; empty
@@ -23,11 +24,10 @@ from ledgerlight.session import written
 # (host, path, verdict); a rule is named by host and path together.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
-LEVELS = 8
 FANOUT = 32
 SMALL_SHARE = 0.05
 Z = 1.96
-SMOOTHING = 20.0
+SMOOTHING = 8.0
 PURITY = 0.5
 
 
@@ -46,15 +46,17 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def template(path: Column) -> Column:
-    """The path's segments, at most LEVELS (the rest in one), with variable ones as wildcards; a file extension stays."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", LEVELS)
+    """All segments of the path, with variable ones as wildcards; a file extension stays."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
     return F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | s.rlike("^[0-9a-fA-F]{16,}$"), F.concat(F.lit("*"), F.regexp_extract(s, "([.][A-Za-z]+)$", 1))).otherwise(s))
 
 
 def generalised(trees: DataFrame) -> DataFrame:
     """Wildcards for the small literal children of nodes with many: rows (host, first, template, pages, good, bad)."""
     trees = written(trees, "url-trees")
-    for level in range(1, (trees.agg(F.max(F.size("template"))).first()[0] or 0) + 1):
+    # Only levels where some host has many different segments can have a node with many children.
+    segments = trees.select("host", F.posexplode("template").alias("at", "child")).groupBy("host", "at").agg(F.count_distinct("child").alias("many"))
+    for level in sorted(r["at"] + 1 for r in segments.where(F.col("many") > FANOUT).select("at").distinct().collect()):
         # A node is a host and the template above this level.
         above, child = F.slice("template", 1, level - 1), F.get("template", F.lit(level - 1))
         rows = trees.withColumns({"above": above, "child": child})
@@ -62,29 +64,51 @@ def generalised(trees: DataFrame) -> DataFrame:
         nodes = children.groupBy("host", "above").agg(F.count("*").alias("many"), F.sum("n").alias("all")).where(F.col("many") > FANOUT)
         small = children.join(nodes, ["host", "above"]).where(F.col("n") < F.col("all") * SMALL_SHARE).select("host", "above", "child", F.lit("*").alias("wild"))
         rows = rows.join(small, ["host", "above", "child"], "left")
-        changed = F.when(F.col("wild").isNotNull(), F.concat(above, F.array("wild"), F.slice("template", level + 1, LEVELS))).otherwise(F.col("template"))
+        below = F.slice("template", F.lit(level + 1), F.greatest(F.size("template") - level, F.lit(0)))
+        changed = F.when(F.col("wild").isNotNull(), F.concat(above, F.array("wild"), below)).otherwise(F.col("template"))
         trees = written(rows.select("host", "first", changed.alias("template"), "pages", "good", "bad"), "url-trees")
     return trees
 
 
+def node_key(depth: Column) -> Column:
+    """A name of the node *depth* segments below the host; segments hold no slash."""
+    return F.md5(F.array_join(F.slice("template", F.lit(1), depth), "/"))
+
+
+def purity(path: Column, usual: Column) -> Column:
+    """Smoothed share of good labels at the end of a path of nodes (good, bad), from the host down.
+
+    A node whose share differs from its parent's by chance at most is merged with its siblings: it takes their parent's
+    purity.  Any other has its own, smoothed towards the parent's.
+    """
+    start = F.struct(usual.cast("double").alias("p"), F.lit(None).cast("double").alias("share"))
+
+    def down(above: Column, node: Column) -> Column:
+        n = node["good"] + node["bad"]
+        bad = node["bad"] / F.greatest(n, F.lit(1))
+        share = F.coalesce(above["share"], 1 - above["p"])
+        similar = (n == 0) | (F.abs(bad - share) <= Z * F.sqrt(share * (1 - share) / F.greatest(n, F.lit(1))))
+        own = (node["good"] + SMOOTHING * above["p"]) / (n + SMOOTHING)
+        return F.struct(F.when(similar, above["p"]).otherwise(own).alias("p"), F.when(n == 0, share).otherwise(bad).cast("double").alias("share"))
+
+    return F.aggregate(path, start, down, lambda end: end["p"])
+
+
 def judged_templates(pages: DataFrame) -> DataFrame:
-    """(host, first, verdict) of every template as found, from rows (host, first, good, bad)."""
+    """(host, first, learned) of every template as found, from rows (host, first, good, bad)."""
     trees = generalised(pages.groupBy("host", "first").agg(F.count("*").alias("pages"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
                         .withColumn("template", F.col("first")))
-    literal = F.array_position(F.transform("template", lambda s: s.startswith("*") | (s == "")), False)
-    branch = F.transform("template", lambda s, i: F.when(i + 1 == literal, F.lit("+")).otherwise(s))
-    trees = trees.withColumn("branch", branch)
-    own = trees.groupBy("host", "template", "branch").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    merged = own.groupBy("host", "branch").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-    everywhere = own.groupBy().agg((F.sum("good") / F.greatest(F.sum("good") + F.sum("bad"), F.lit(1))).alias("usual"))
-    n, m = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
-    share = F.col("all_bad") / F.greatest(m, F.lit(1))
-    off = F.abs(F.col("bad") / F.greatest(n, F.lit(1)) - share)
-    similar = (n == 0) | (off <= Z * F.sqrt(share * (1 - share) / F.greatest(n, F.lit(1))))
-    good, bad = F.when(similar, F.col("all_good")).otherwise(F.col("good")), F.when(similar, F.col("all_bad")).otherwise(F.col("bad"))
+    own = written(trees.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-templates")
+    # The tree: every template lies on the nodes of all its beginnings, the host first.
+    on = own.select("host", "template", "good", "bad", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("depth"))
+    on = on.select("host", "template", "good", "bad", "depth", node_key(F.col("depth")).alias("node"))
+    nodes = on.groupBy("host", "depth", "node").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    paths = on.join(nodes, ["host", "depth", "node"]).groupBy("host", "template").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("depth", F.col("all_good").alias("good"), F.col("all_bad").alias("bad")))), lambda x: F.struct(x["good"], x["bad"])).alias("path"))
     # One row of totals: the scalar subquery is a single number.
-    purity = (good + SMOOTHING * F.coalesce(everywhere.scalar(), F.lit(1.0))) / (good + bad + SMOOTHING)
-    verdicts = own.join(merged, ["host", "branch"]).select("host", "template", F.when((good + bad > 0) & (purity < PURITY), "block").otherwise("allow").alias("learned"))
+    everywhere = own.groupBy().agg((F.sum("good") / F.greatest(F.sum("good") + F.sum("bad"), F.lit(1))).alias("usual"), (F.sum("good") + F.sum("bad")).alias("labels"))
+    usual = F.coalesce(everywhere.where("labels > 0").select("usual").scalar(), F.lit(1.0))
+    verdicts = paths.select("host", "template", F.when(purity(F.col("path"), usual) < PURITY, "block").otherwise("allow").alias("learned"))
     return trees.join(verdicts, ["host", "template"]).select("host", "first", "learned")
 
 
