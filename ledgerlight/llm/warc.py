@@ -39,6 +39,9 @@ ROLL_BYTES = 64 << 20
 BLOCK_LINES = 2048
 LINES_PER_FILE = 250_000
 MAX_FILES = 4096
+# Keys that a lookup task bisects, and bytes of archives that a task reads back.
+KEYS_PER_TASK = 4096
+READ_BYTES = 4 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 
@@ -220,7 +223,9 @@ def lookup(keys: DataFrame, folder: str, files: DataFrame) -> DataFrame:
             columns = zip(*found) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["file", "offset", "length"])
 
-    ordered = keys.distinct().repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id")
+    # The keys are small, the lookups behind them are not: without a number Spark would put them into few tasks by their size.
+    keys = written(keys.distinct(), "warc-keys")
+    ordered = keys.repartitionByRange(max(1, -(-keys.count() // KEYS_PER_TASK)), "surt", "page_id").sortWithinPartitions("surt", "page_id")
     return ordered.mapInArrow(run, "file string, offset bigint, length bigint")
 
 
@@ -241,7 +246,10 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    ordered = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # A place is a few bytes and stands for a whole record, so the tasks are cut by the bytes to read.
+    places = written(places, "warc-places")
+    size = places.agg(F.sum("length")).first()[0] or 0
+    ordered = places.repartitionByRange(max(1, -(-size // READ_BYTES)), "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
