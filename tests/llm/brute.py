@@ -130,3 +130,23 @@ def language_rows(docs, discount=0.75):
         score = sum(math.log10(max(bigrams[u, x] - discount, 0) / contexts[u] + discount * types[u] / contexts[u] * one(x) if contexts[u] else one(x)) for u, x in zip([""] + w, w))
         out.append((d, held(d), len(w), sum(unigrams[x] > 0 for x in w), n, sum(math.log10(one(x)) for x in w), score))
     return out
+
+
+def shingles(text, width=5):
+    w = words((text or "").translate(LOWER))
+    return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def near_copy_groups(docs, at_least=0.8):
+    """The smallest doc_id of every row's group of near copies."""
+    sets = [shingles(t) for _, t in docs]
+    # Similar sets are of similar size, so only those are compared.
+    roots = reach(len(docs), lambda i, j: at_least * max(len(sets[i]), len(sets[j])) <= min(len(sets[i]), len(sets[j])) and similarity(sets[i], sets[j]) >= at_least)
+    least = {}
+    for (d, _), r in zip(docs, roots):
+        least[r] = min(least.get(r, d), d)
+    return [least[r] for r in roots]

@@ -4,8 +4,11 @@ import base64
 import hashlib
 import json
 import math
+import random
+import re
+import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +157,22 @@ def test_longest_matches(llm):
     assert plain(decontaminate.longest_matches(docs, bench), "doc_id", "item_id", "doc_word", "item_word", "n_words") == [(1, "5", 1, 10, 30), (1, "5", 32, 60, 12)]
 
 
+def test_repeated_words_are_searched_once():
+    """Twenty thousand equal words against as many: one window, found at every place, in time that does not grow with the product."""
+    started = time.monotonic()
+    found = words_of(pa.array(["x " * 20_000]), NON_ALNUM, lower=True)
+    block = decontaminate.Patterns(["1", "2"], pa.array(["x " * 20_000, "X " * 15_000]), 10)
+    (_, spots, which, own), = decontaminate.occurrences(found, [lambda: block])
+    assert len(own.windows) == 1 and len(spots) == 19_991 and not which.any()
+    assert time.monotonic() - started < 10
+
+
+def test_repeated_words_report(llm):
+    docs = llm.createDataFrame([(1, "x " * 20_000), (2, "x " * 9)], "doc_id bigint, text string")
+    bench = llm.createDataFrame([(i, "x " * 4_000) for i in range(40)], "item_id bigint, text string")
+    assert plain(decontaminate.contamination_report(docs, bench), "doc_id", "n_hit", "n_items") == [(1, 20_000, 40), (2, 0, 0)]
+
+
 def test_contamination_empty(llm, odd_frame, no_docs):
     bench = llm.createDataFrame([], "item_id bigint, text string")
     assert not any(r.contaminated for r in decontaminate.contamination_report(odd_frame, bench).collect())
@@ -310,6 +329,74 @@ def test_url_templates_learn(llm):
     assert all(got[1000 + i] == "block" for i in range(200))
 
 
+def judged_by_tree(pages, labels):
+    """Verdicts of all pages by a tree of dictionaries, node by node from the host down."""
+    quality = {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            quality[d] = max(q, quality.get(d, q))
+    rows = []
+    for page, (_, host, path, rule, verdict) in zip([p for p, _ in pages], sorted(rule_rows([u for _, u in pages]))):
+        parts = path.removeprefix("/").split("/")
+        wild = lambda s: "*" + (re.search("[.][A-Za-z]+$", s) or [""])[0] if re.search("[0-9]", s) or re.fullmatch("[0-9a-fA-F]{16,}", s) else s
+        rows.append([page, host, tuple(map(wild, parts)), rule, verdict, quality.get(page)])
+    for level in range(max(len(r[2]) for r in rows)):
+        children = defaultdict(Counter)
+        for r in rows:
+            if len(r[2]) > level:
+                children[r[1], r[2][:level]][r[2][level]] += 1
+        for r in rows:
+            if len(r[2]) > level:
+                node = children[r[1], r[2][:level]]
+                if len(node) > urls.FANOUT and node[r[2][level]] < node.total() * urls.SMALL_SHARE:
+                    r[2] = (*r[2][:level], "*", *r[2][level + 1:])
+    good, bad = Counter(), Counter()
+    for r in rows:
+        for depth in range(len(r[2]) + 1):
+            good[r[1], r[2][:depth]] += r[5] == 1
+            bad[r[1], r[2][:depth]] += r[5] == 0
+    n_good, n = sum(r[5] == 1 for r in rows), sum(r[5] is not None for r in rows)
+    out = []
+    for page, host, template, rule, verdict, _ in rows:
+        p = n_good / n if n else 1.0
+        share = 1 - p
+        for depth in range(len(template) + 1):
+            g, b = good[host, template[:depth]], bad[host, template[:depth]]
+            if g + b and abs(b / (g + b) - share) > urls.Z * math.sqrt(share * (1 - share) / (g + b)):
+                p = (g + urls.SMOOTHING * p) / (g + b + urls.SMOOTHING)
+            share = b / (g + b) if g + b else share
+        out.append((page, rule, verdict if rule else "block" if p < urls.PURITY else "allow"))
+    return sorted(out, key=repr)
+
+
+def test_url_tree_on_random_paths(llm):
+    draw = random.Random(4)
+    names = ["news", "spam", "shop", "blog", "x", "archive"]
+    pages, labels = [], []
+    for i in range(1500):
+        host = draw.choice(["a.xyz", "b.xyz", "c.example.com", "d.info"])
+        parts = [draw.choice(names) for _ in range(draw.choice([0, 1, 2, 3, 10]))] + [draw.choice([f"p{i}.html", f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}", ""])]
+        pages.append((i, f"http://{host}/" + "/".join(parts)))
+        if draw.random() < 0.6:
+            labels.append((i, int(draw.random() < (0.1 if "spam" in parts[1:] or parts[:1] == ["shop"] and host == "b.xyz" else 0.9))))
+    labels += [(None, 0), (3, None), (5, 1), (5, 0)]
+    got = urls.judge(llm.createDataFrame(pages, "page_id bigint, url string"), llm.createDataFrame([(d, q, 0) for d, q in labels], "doc_id bigint, quality int, toxic int"))
+    expected = judged_by_tree(pages, labels)
+    assert plain(got, "page_id", "rule", "verdict") == expected
+    assert 100 < sum(v == "block" and r is None for _, r, v in expected) < 1200
+
+
+def test_url_paths_deeper_than_any_limit(llm):
+    """Branches that part at the twentieth segment are told apart."""
+    pages = [(i, "http://deep.xyz/" + "/".join("abcdefghijklmnopqrst"[j] for j in range(20)) + f"/{'bad' if i % 2 else 'fine'}/x{i}") for i in range(200)]
+    labels = [(i, 1 - i % 2, 0) for i in range(0, 200)]
+    got = {r.page_id: r.verdict for r in urls.judge(llm.createDataFrame(pages, "page_id bigint, url string"), llm.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    assert all((got[i] == "block") == (i % 2 == 1) for i in range(200))
+    # Labels without pages change nothing.
+    more = llm.createDataFrame(labels + [(1000 + i, 0, 0) for i in range(500)], "doc_id bigint, quality int, toxic int")
+    assert {r.page_id: r.verdict for r in urls.judge(llm.createDataFrame(pages, "page_id bigint, url string"), more).collect()} == got
+
+
 def test_url_table(llm, sf_dir):
     rows = table_rows(llm, sf_dir, "pages", "page_id", "url")
     expected = {r[0]: r for r in rule_rows([u for _, u in rows])}
@@ -495,7 +582,7 @@ def test_pipeline_table(llm, sf_dir):
     rows = plain(kept, "doc_id", "text")
     assert [d for d, _ in rows] == sorted((d for d, p in scores.items() if not p), key=lambda d: repr((d,))) or {d for d, _ in rows} == {d for d, p in scores.items() if not p}
     once = corpus_pipeline.STAGES[1][1](llm, kept, sf_dir)
-    assert sorted(r.doc_id for r in once.collect()) == sorted({c for _, _, c in brute.simhash_rows(rows)})
+    assert sorted(r.doc_id for r in once.collect()) == sorted(set(brute.near_copy_groups(rows)))
     clean = corpus_pipeline.STAGES[2][1](llm, once, sf_dir)
     hits = brute.contamination_rows(plain(once, "doc_id", "text"), table_rows(llm, sf_dir, "benchmark", "item_id", "text"))
     assert sorted(r.doc_id for r in clean.collect()) == sorted(h[0] for h in hits if not h[-1])
