@@ -105,10 +105,11 @@ def judged_templates(pages: DataFrame) -> DataFrame:
     nodes = on.groupBy("host", "depth", "node").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
     paths = on.join(nodes, ["host", "depth", "node"]).groupBy("host", "template").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("depth", F.col("all_good").alias("good"), F.col("all_bad").alias("bad")))), lambda x: F.struct(x["good"], x["bad"])).alias("path"))
-    # One row of totals: the scalar subquery is a single number.
-    everywhere = own.groupBy().agg((F.sum("good") / F.greatest(F.sum("good") + F.sum("bad"), F.lit(1))).alias("usual"), (F.sum("good") + F.sum("bad")).alias("labels"))
-    usual = F.coalesce(everywhere.where("labels > 0").select("usual").scalar(), F.lit(1.0))
-    verdicts = paths.select("host", "template", F.when(purity(F.col("path"), usual) < PURITY, "block").otherwise("allow").alias("learned"))
+    # Two numbers: the labels of all pages.
+    everywhere = own.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    labels = (everywhere.good or 0) + (everywhere.bad or 0)
+    usual = everywhere.good / labels if labels else 1.0
+    verdicts = paths.select("host", "template", F.when(purity(F.col("path"), F.lit(float(usual))) < PURITY, "block").otherwise("allow").alias("learned"))
     return trees.join(verdicts, ["host", "template"]).select("host", "first", "learned")
 
 
