@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlight.functions import jsonspans
 from ledgerlight.functions.money import as_col
 
 # Key segments that mark a secret, segments that overrule them, visible ends.
@@ -85,33 +86,16 @@ def payload_fields(column: str, paths: dict[str, str]) -> list[Column]:
     return [F.get_json_object(column, json_path(path)).alias(name) for name, path in paths.items()]
 
 
-def _without(node, steps: list[str | int | None]):
-    """The tree without what the steps lead to."""
-    step, rest = steps[0], steps[1:]
-    if isinstance(node, dict) and isinstance(step, str) and step in node:
-        return {k: _without(v, rest) if k == step else v for k, v in node.items() if rest or k != step}
-    if isinstance(node, list) and not isinstance(step, str):
-        hit = range(len(node)) if step is None else [step]
-        return [_without(v, rest) if i in hit else v for i, v in enumerate(node) if rest or i not in hit]
-    return node
-
-
 def payload_prune(payload: Column | str, paths: Sequence[str]) -> Column:
-    """The payload without the dotted *paths*; everything else stays, whatever its shape, and so does text that is no JSON."""
+    """The payload without the dotted *paths*; every other character stays, and so does text that is no JSON.
+
+    Positions are those of the payload as it is.
+    """
     routes = [path_steps(p) for p in paths]
 
     @F.pandas_udf(T.StringType())
     def prune(payloads: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                tree = json.loads(text)
-            except (TypeError, ValueError):
-                return text
-            for route in routes:
-                tree = _without(tree, route)
-            return json.dumps(tree, separators=(",", ":"), ensure_ascii=False)
-
-        return payloads.map(one)
+        return payloads.map(lambda text: jsonspans.without(text, routes))
 
     return prune(as_col(payload))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.operators.ordered import epoch_micros
+from ledgerlight.operators.ordered import epoch_micros, running_maxima
 from ledgerlight.sources.adapters import ntz
 
 # States in which a job can make no more progress.
@@ -66,21 +66,17 @@ def jobs_to_poll(jobs: DataFrame, size: int) -> DataFrame:
 def cooled_down(failures: DataFrame, requests: DataFrame, key: str, ts: str, row_id: str, seconds: int) -> DataFrame:
     """Requests that arrive while their entity is suspended after a failure.
 
-    Interval overlap without a range join: failures and requests share one time
-    line, cut into buckets as long as the suspension.  A request only needs the
-    last failure of its own bucket or of the one before, so failures are sent to
-    both and the window never spans more than two buckets.
+    Interval overlap without a range join: failures and requests share one time line, and a request looks at the last
+    failure before it, a running maximum that is cut into buckets where a key has many rows.
     """
     span = seconds * 1_000_000
-    def placed(df: DataFrame, kind: int, offsets: list[int]) -> DataFrame:
-        home = F.floor(epoch_micros(ts) / span)
-        return df.select(key, row_id, epoch_micros(ts).alias("_at"), F.lit(kind).alias("_kind"),
-                         F.explode(F.array(*[home + o for o in offsets])).alias("_bucket"))
+
+    def placed(df: DataFrame, kind: int) -> DataFrame:
+        return df.select(key, row_id, epoch_micros(ts).alias("_at"), F.lit(kind).alias("_kind"))
 
     # At the same moment the request comes first: a failure suspends what follows it.
-    line = placed(failures, 1, [0, 1]).unionByName(placed(requests, 0, [0]))
-    before = Window.partitionBy(key, "_bucket").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("_kind") == 1, F.col("_at"))).over(before)
-    marked = line.withColumn("_last", last).where(F.col("_kind") == 0)
+    line = placed(failures, 1).unionByName(placed(requests, 0))
+    last = {"_last": F.when(F.col("_kind") == 1, F.col("_at"))}
+    marked = running_maxima(line, [key], ["_at", "_kind"], last).where(F.col("_kind") == 0)
     cooling: Column = F.coalesce(F.col("_at") - F.col("_last") < span, F.lit(False))
     return marked.select(key, row_id, cooling.alias("cooling"))

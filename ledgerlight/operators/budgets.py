@@ -29,15 +29,12 @@ def session_iterations(usage: DataFrame, limit: int) -> DataFrame:
 def minute_limit(usage: DataFrame, entity: str, tpm: int, rpm: int, unit: str = "minute") -> DataFrame:
     """A request exceeds when the tokens before it plus its own pass TPM, or its number passes RPM.
 
-    The window never spans more than one *unit* of one entity.
+    An entity with very many requests in one *unit* is cut into buckets along the time.
     """
     tokens = F.col("prompt_tokens") + F.col("completion_tokens")
-    earlier = (Window.partitionBy(entity, "slot").orderBy("start_time", "request_id")
-               .rowsBetween(Window.unboundedPreceding, -1))
     rows = usage.withColumn("slot", F.date_trunc(unit, "start_time").cast("timestamp_ntz"))
-    used = F.coalesce(F.sum(tokens).over(earlier), F.lit(0))
-    calls = F.count(F.lit(1)).over(earlier)
-    return (rows.withColumn("tokens_before", used).withColumn("calls_before", calls)
+    running = running_totals(rows, [entity, "slot"], ["start_time", "request_id"], {"tokens_before": tokens, "calls_before": F.lit(1).cast("bigint")})
+    return (running
             .withColumn("exceeds", (F.col("tokens_before") + tokens > tpm) | (F.col("calls_before") + 1 > rpm)))
 
 
@@ -51,7 +48,7 @@ def concurrency(usage: DataFrame, entity: str, cap: int) -> DataFrame:
         F.struct(F.col("end_time").alias("moment"), F.lit(-1).alias("step")))).alias("e")).select(
         entity, "request_id", "e.moment", "e.step")
     running = running_totals(line, [entity], ["moment", "step", "request_id"],
-                             {"running_before": F.col("step").cast("bigint")}, F.to_date("moment"))
+                             {"running_before": F.col("step").cast("bigint")})
     return running.where(F.col("step") == 1).select(
         entity, "request_id", "moment", "running_before", (F.col("running_before") >= cap).alias("rejected"))
 

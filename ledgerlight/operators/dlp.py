@@ -103,10 +103,17 @@ def _candidates(text: str, today: dt.date) -> list[tuple]:
 
 
 def _resolve(found: list[tuple]) -> list[tuple]:
-    """Longest first, checked before unchecked, then leftmost; no overlaps."""
-    kept: list[tuple] = []
+    """Longest first, checked before unchecked, then leftmost; no overlaps.
+
+    Kept spans mark their places, so a candidate looks at its own stretch only, however many are kept.  Spans are not empty.
+    """
+    if len(found) < 2:
+        return list(found)
+    kept, taken = [], bytearray(max(s[4] for s in found))
     for span in sorted(found, key=lambda s: (s[3] - s[4], not s[5], s[3])):
-        if all(span[4] <= other[3] or span[3] >= other[4] for other in kept):
+        start, end = span[3], span[4]
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\1" * (end - start)
             kept.append(span)
     return sorted(kept, key=lambda s: s[3])
 

@@ -14,7 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlight.session import written
+
 DEFAULT_BLOCK = 4096
+# Rows of a key in one bucket, and the size of the sketches that find where buckets end (rank error about 0.1 %).
+ROWS_PER_BUCKET = 250_000
+SKETCH_SIZE = 4096
+MAX_BUCKETS = 1024
 
 
 def epoch_seconds(ts: Column | str) -> Column:
@@ -37,33 +43,79 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     return left.join(renamed, condition).drop(*[f"_right_{i}" for i in range(len(keys))])
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
-                   bucket: Column, inclusive: bool = False) -> DataFrame:
-    """Add one running sum per entry of *values* (exclusive of the row itself by default).
+def order_number(df: DataFrame, order: str) -> Column:
+    """The order column as a number of the same order: microseconds of a time, days of a date."""
+    kind = dict(df.dtypes)[order]
+    if kind.startswith("timestamp"):
+        return epoch_micros(order)
+    if kind == "date":
+        return F.unix_date(order).cast("bigint")
+    return F.col(order).cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.col(order).cast("double")
+
+
+def measured_buckets(df: DataFrame, keys: Sequence[str], order: str, rows: int | None = None, name: str = "_bucket") -> DataFrame:
+    """Add a bucket number that never decreases along *order* within a key, with about *rows* rows of a key in each.
 
-    *bucket* must be a non-decreasing function of the first order column, such
-    as its day.  A null key or bucket is a key or bucket like any other.  Per-bucket totals are partially aggregated before the shuffle;
-    their prefix sums give every bucket its starting value.
+    Keys are counted first, and a key has at most MAX_BUCKETS buckets.  Only those with more rows are sketched, and their buckets end at quantiles of their own, so the
+    distribution does not matter: all rows of a key may lie in one day or one second.  Rows with one value of *order* stay
+    together; nulls come first.
     """
+    rows = rows or ROWS_PER_BUCKET
+    number = order_number(df, order)
+    whole = dict(df.withColumn("_o", number).dtypes)["_o"] == "bigint"
+    sketch, quantile = (F.kll_sketch_agg_bigint, F.kll_sketch_get_quantile_bigint) if whole else (F.kll_sketch_agg_double, F.kll_sketch_get_quantile_double)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    sketched = join_null_safe(df.select(*keys, number.alias("_o")).where(F.col("_o").isNotNull()), hot, keys).groupBy(*keys, "_n").agg(sketch("_o", F.lit(SKETCH_SIZE)).alias("_s"))
+    parts = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("_n") / F.lit(rows)).cast("int"))
+    # A sketch answers a fixed list of ranks only, in order; a key takes those that cut it into its number of parts.
+    ranks = sketched.withColumn("_parts", parts).where("_parts > 1").withColumn("_q", quantile("_s", F.array(*[F.lit(i / MAX_BUCKETS) for i in range(1, MAX_BUCKETS)])))
+    splits = ranks.select(*keys, F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.element_at("_q", F.floor(i * MAX_BUCKETS / F.col("_parts")).cast("int"))).alias("_splits"))
+    # Sketches draw at random: written once, so that every use of the buckets sees the same ones.
+    splits = written(splits, "bucket-splits")
+    renamed = splits.select(*[F.col(k).alias(f"_split_{i}") for i, k in enumerate(keys)], "_splits")
+    condition = F.lit(True)
+    for i, key in enumerate(keys):
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_split_{i}"))
+    placed = df.withColumn("_o", number).join(renamed, condition, "left")
+    bucket = F.coalesce(F.size(F.filter("_splits", lambda s: s <= F.col("_o"))), F.lit(0))
+    return placed.withColumn(name, F.when(F.col("_splits").isNull(), 0).otherwise(bucket)).drop("_o", "_splits", *[f"_split_{i}" for i in range(len(keys))])
+
+
+def _scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], bucket: Column | None,
+          inclusive: bool, fold, empty) -> DataFrame:
+    """Running sums or maxima: inside the buckets, and over the totals of the buckets before."""
     names = list(values)
-    base = df.withColumn("_bucket", bucket)
+    base = df.withColumn("_bucket", bucket) if bucket is not None else measured_buckets(df, keys, order[0])
     for name in names:
         base = base.withColumn(f"_v_{name}", values[name])
-    totals = base.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    totals = base.groupBy(*keys, "_bucket").agg(*[fold(f"_v_{n}").alias(f"_t_{n}") for n in names])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_bucket",
-        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in names])
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
+    offsets = totals.select(*keys, "_bucket", *[fold(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in names])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = join_null_safe(base, offsets, [*keys, "_bucket"])
     for name in names:
-        out = out.withColumn(
-            name, F.col(f"_o_{name}") + F.coalesce(F.sum(f"_v_{name}").over(inside), F.lit(0)))
+        out = out.withColumn(name, empty(F.col(f"_o_{name}"), fold(f"_v_{name}").over(inside)))
     return out.drop("_bucket", *[f"_v_{n}" for n in names], *[f"_o_{n}" for n in names])
 
 
-def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+                   bucket: Column | None = None, inclusive: bool = False) -> DataFrame:
+    """Add one running sum per entry of *values* (exclusive of the row itself by default).
+
+    *bucket*, where given, must be a non-decreasing function of the first order column, such as its day; by default keys
+    are cut where they have many rows (`measured_buckets`).  A null key or bucket is a key or bucket like any other.
+    Per-bucket totals are partially aggregated before the shuffle; their prefix sums give every bucket its starting value.
+    """
+    return _scan(df, keys, order, values, bucket, inclusive, F.sum, lambda before, own: F.coalesce(before, F.lit(0)) + F.coalesce(own, F.lit(0)))
+
+
+def running_maxima(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+                   bucket: Column | None = None, inclusive: bool = False) -> DataFrame:
+    """Add one running maximum per entry of *values*, null before the first value."""
+    return _scan(df, keys, order, values, bucket, inclusive, F.max, lambda before, own: F.greatest(before, own))
+
+
+def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None,
              name: str = "ordinal") -> DataFrame:
     """row_number() over (keys, order), computed bucket by bucket."""
     return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, bucket, inclusive=True)
@@ -89,7 +141,7 @@ def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, sec
         *keys, row_id, ts, "_times", F.col("e.at").alias("_at"), F.col("e.rank").alias("_rank"))
     is_row = F.col("_rank") == 1
     counted = running_totals(line, keys, ["_at", "_rank", row_id], {"_c": F.when(is_row, F.col("_times")).otherwise(0).cast("bigint")},
-                             F.floor(F.col("_at") / F.lit(86_400_000_000)), inclusive=True)
+                             inclusive=True)
     found = counted.groupBy(*keys, row_id, ts, "_times").agg(
         (F.max(F.when(is_row, F.col("_c"))) - F.max(F.when(~is_row, F.col("_c")))).alias(name))
     return found.select(*keys, row_id, ts, name, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("col")

@@ -10,12 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlight.session import written
+
 # Fixed values.
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
 SEPARATORS = ("\n\n", "\n", " ", "")
-MAX_QUERY_BLOCK = 2048
-ROWS_PER_CELL = 20_000
 CONTEXT_END = "\n\n"
+# Rows of the sample that trains the centroids, their number, and rows of a part of a list and of a block of queries.
+TRAINING_ROWS, CENTROIDS = 4096, 64
+ROWS_PER_CELL, MAX_QUERY_BLOCK = 8192, 1024
+# Beyond the rounding of angles, and the ninth decimal of scores.
+SLACK = 1e-7
 
 
 # ---- chunks ----------------------------------------------------------------
@@ -111,100 +116,122 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[np
 
 
 HITS = "query_id bigint, vec_id bigint, score double"
+LISTS = "cell int, part int, members array<bigint>, units binary, radius double"
 
 
-def _partial_hits(query_ids: np.ndarray, queries: np.ndarray, k: int, floor: float):
-    """Best k per query within one partition, kept while its batches pass by."""
-    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = {q: (np.empty(0, dtype=np.int64), np.empty(0)) for q in query_ids}
-        for batch in batches:
-            if len(batch):
-                ids = batch["vec_id"].to_numpy()
-                scores = queries @ _unit(batch["embedding"]).T
-                for row, q in enumerate(query_ids):
-                    new_ids, new_scores = _best(scores[row], ids, k, floor)
-                    kept[q] = _best(np.concatenate((kept[q][1], new_scores)), np.concatenate((kept[q][0], new_ids)), k, floor)
-        for q, (ids, scores) in kept.items():
-            if len(ids):
-                yield pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores})
+def centroids(vectors: DataFrame) -> np.ndarray:
+    """Unit centroids of the inverted lists, by a few rounds of spherical k-means over at most TRAINING_ROWS vectors."""
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS).toPandas()
+    if not len(sample):
+        return np.zeros((0, 0))
+    units = _unit(sample["embedding"])
+    units = units[np.isfinite(units).all(axis=1)]
+    if not len(units):
+        return np.ones((1, len(sample["embedding"][0])))
+    centres = units[:: max(1, len(units) // CENTROIDS)][:CENTROIDS]
+    for _ in range(5):
+        near = (units @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, units)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
+    return centres
 
-    return search
 
+def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ centres.T, -1.0, 1.0))
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0) -> DataFrame:
-    """Exact k nearest vectors by cosine for every query (columns query_id, embedding).
 
-    A query batch of at most MAX_QUERY_BLOCK rows — its size is checked — travels
-    with the tasks; the vectors are only scanned, never shuffled, and each
-    partition returns k rows per query.  Larger query tables are spread over a
-    grid of cells instead, so neither side is ever whole in one place.
+def inverted_lists(rows: DataFrame, centres: np.ndarray, size: int) -> DataFrame:
+    """(cell, part, members, units, radius): the vectors nearest to each centroid, in parts of about *size* of them.
+
+    The radius is the widest angle of a part to its centroid.  A cell with very many vectors has many parts.
     """
-    head = queries.select("query_id", "embedding").limit(MAX_QUERY_BLOCK + 1).collect()
-    if not head:
-        return vectors.sparkSession.createDataFrame([], HITS + ", rank int")
-    base = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
-    if len(head) <= MAX_QUERY_BLOCK:
-        ids = np.array([r["query_id"] for r in head], dtype=np.int64)
-        hits = base.mapInPandas(_partial_hits(ids, _unit([r["embedding"] for r in head]), k, min_score), HITS)
-    else:
-        hits = _grid_hits(base, queries, k, min_score)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    def assign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                units = _unit(batch["embedding"])
+                cell = np.nan_to_num(units @ centres.T, nan=-2.0).argmax(axis=1)
+                yield pd.DataFrame({"id": batch["id"].to_numpy(), "cell": cell.astype(np.int32), "unit": list(units)})
 
+    placed = rows.mapInPandas(assign, "id bigint, cell int, unit array<double>")
+    counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / F.lit(size))
+    cut = placed.join(counts, "cell").select("id", "cell", "unit", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
 
-def _grid_hits(vectors: DataFrame, queries: DataFrame, k: int, min_score: float) -> DataFrame:
-    """Partial hits from a grid of (vector cell, query cell) pairs of bounded size."""
-    vector_cells = max(1, -(-vectors.count() // ROWS_PER_CELL))
-    query_cells = max(1, -(-queries.count() // MAX_QUERY_BLOCK))
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        units, cell = np.stack(group["unit"].to_numpy()), int(group["cell"].iloc[0])
+        away = _angles(units, centres[cell:cell + 1])[:, 0]
+        return pd.DataFrame({"cell": [cell], "part": [int(group["part"].iloc[0])], "members": [group["id"].to_numpy().astype(np.int64)], "units": [units.tobytes()],
+                             "radius": [float(np.nanmax(away, initial=0.0))]})
 
-    def cell(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    return cut.groupBy("cell", "part").applyInPandas(pack, LISTS)
 
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = vectors.select("*", cell("vec_id", vector_cells).alias("vc"), every(query_cells).alias("qc"))
-    right = queries.select("query_id", "embedding", cell("query_id", query_cells).alias("qc"), every(vector_cells).alias("vc"))
+def _searched(pairs: DataFrame, k: int, min_score: float) -> DataFrame:
+    """Best k of a list's part for each query of a block; *floors* are scores that a query has already."""
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                ids, asked, floors = np.asarray(row.members), np.asarray(row.queries), np.asarray(row.floors)
+                scores = np.frombuffer(row.query_units).reshape(len(asked), -1) @ np.frombuffer(row.units).reshape(len(ids), -1).T
+                found = [_best(s, ids, k, max(min_score, floor)) for s, floor in zip(scores, floors)]
+                yield pd.DataFrame({"query_id": np.repeat(asked, [len(i) for i, _ in found]), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
+
+    return pairs.mapInPandas(run, HITS)
 
-    def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        found = list(_partial_hits(q["query_id"].to_numpy(), _unit(q["embedding"]), k, min_score)([v]))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    return left.groupBy("vc", "qc").cogroup(right.groupBy("vc", "qc")).applyInPandas(search, HITS)
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def nearest_anchor(vectors: DataFrame, anchors: DataFrame, threshold: float) -> DataFrame:
-    """Best anchor of every vector, where its similarity reaches the threshold.
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0) -> DataFrame:
+    """Exact k nearest vectors by cosine for every query (columns query_id, embedding).
 
-    The same search with the sides exchanged: anchors (routes, stored prompts)
-    are the bounded side and the vectors stay in place.
+    Inverted lists over centroids hold the vectors, and blocks over the same centroids the queries; both are cut into parts
+    of bounded size.  A block first meets the list of its own centroid.  The k-th best score so far then rules out every
+    list whose vectors are all at a wider angle: the angle to its centroid less its radius.  What is left is searched, so
+    nothing is lost.  The plan does not depend on the number of queries or vectors.
     """
-    head = anchors.select("anchor_id", "embedding").limit(MAX_QUERY_BLOCK + 1).collect()
-    if not head:
-        return vectors.sparkSession.createDataFrame([], "vec_id bigint, anchor_id bigint, score double")
-    base = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
-    if len(head) > MAX_QUERY_BLOCK:
-        hits = _grid_hits(anchors.select(F.col("anchor_id").cast("bigint").alias("vec_id"), "embedding"),
-                          base.select(F.col("vec_id").alias("query_id"), "embedding"), 1, threshold)
-        best = F.max_by(F.struct("vec_id", "score"), F.struct("score", -F.col("vec_id")))
-        return hits.groupBy("query_id").agg(best.alias("b")).select(
-            F.col("query_id").alias("vec_id"), F.col("b.vec_id").alias("anchor_id"), F.col("b.score").alias("score"))
-    order = np.argsort([r["anchor_id"] for r in head])
-    ids = np.array([head[i]["anchor_id"] for i in order], dtype=np.int64)
-    units = _unit([head[i]["embedding"] for i in order])
+    base = vectors.select(F.col("vec_id").cast("bigint").alias("id"), "embedding")
+    centres = centroids(base)
+    if not len(centres):
+        return vectors.sparkSession.createDataFrame([], HITS + ", rank int")
+    lists = written(inverted_lists(base, centres, ROWS_PER_CELL), "vector-lists")
+    asked = inverted_lists(queries.select(F.col("query_id").cast("bigint").alias("id"), "embedding"), centres, MAX_QUERY_BLOCK)
+    asked = written(asked.select("cell", F.col("part").alias("block"), F.col("members").alias("queries"), F.col("units").alias("query_units")), "vector-queries")
 
-    def assign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visits(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of a block those queries that may find something in a cell."""
         for batch in batches:
-            if len(batch):
-                scores = np.round(_unit(batch["embedding"]) @ units.T, 9)
-                best = scores.argmax(axis=1)
-                top = scores[np.arange(len(batch)), best]
-                keep = top >= threshold
-                yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy()[keep], "anchor_id": ids[best][keep], "score": top[keep]})
+            for row in batch.itertuples():
+                ids = np.asarray(row.queries)
+                units = np.frombuffer(row.query_units).reshape(len(ids), -1)
+                known = dict(zip(row.known_ids, row.known_scores)) if row.known_ids is not None else {}
+                floors = np.array([known.get(q, -np.inf) for q in ids.tolist()])
+                least = np.cos(np.clip(_angles(units, centres[row.cell:row.cell + 1])[:, 0] - row.radius, 0, np.pi))
+                need = ~(least + SLACK < np.maximum(floors, min_score))
+                if need.any():
+                    yield pd.DataFrame({"cell": [row.cell], "block": [0], "queries": [ids[need]], "query_units": [units[need].tobytes()], "floors": [floors[need]]})
+
+    nothing = F.transform("queries", lambda q: F.lit(float("-inf")))
+    home = written(_searched(asked.withColumn("floors", nothing).join(lists, "cell"), k, min_score), "vector-home")
+    kth = _ranked(home, k).where(F.col("rank") == k).select("query_id", "score")
+    owner = asked.select("cell", "block", F.explode("queries").alias("query_id"))
+    known = owner.join(kth, "query_id").groupBy("cell", "block").agg(F.collect_list(F.struct("query_id", "score")).alias("k")).select(
+        F.col("cell").alias("own"), "block", F.col("k.query_id").alias("known_ids"), F.col("k.score").alias("known_scores"))
+    cells = lists.groupBy("cell").agg(F.max("radius").alias("radius"))
+    others = asked.withColumnRenamed("cell", "own").join(known, ["own", "block"], "left").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(centres) - 1)))))
+    others = others.where(F.col("cell") != F.col("own")).join(cells, "cell")
+    wider = others.mapInPandas(visits, "cell int, block int, queries array<bigint>, query_units binary, floors array<double>")
+    return _ranked(home.union(_searched(wider.join(lists, "cell"), k, min_score)), k)
+
 
-    return base.mapInPandas(assign, "vec_id bigint, anchor_id bigint, score double")
+def nearest_anchor(vectors: DataFrame, anchors: DataFrame, threshold: float) -> DataFrame:
+    """Best anchor of every vector, where its similarity reaches the threshold: the same search with the sides exchanged."""
+    hits = vector_topk(anchors.select(F.col("anchor_id").alias("vec_id"), "embedding"), vectors.select(F.col("vec_id").alias("query_id"), "embedding"), 1, threshold)
+    return hits.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("anchor_id"), "score")
 
 
 def semantic_tool_select(vectors: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:

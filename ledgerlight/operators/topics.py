@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -10,76 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import textnorm as N
-from ledgerlight.functions.patterns import any_of, ascii_words, count_hits, unicode_words
+from ledgerlight.functions.patterns import any_of, count_hits, unicode_words
 from ledgerlight.functions.topic_catalog import TOPICS, Topic
-
-SENTENCE_END = r"[.!?\n]+"
-SEVERITY_ORDER = ("low", "medium", "high")
-
+from ledgerlight.operators.lexicon import SEVERITY_ORDER, category_hits, lexicon_table, topic_rows
 
 def lexicon(spark: SparkSession, topics: Sequence[Topic] = TOPICS) -> DataFrame:
-    """The catalog as a table (category, kind, term, severity)."""
-    rows = [(t.name, kind, term, t.severity) for t in topics
-            for kind, terms in (("identifier", t.identifiers), ("action", t.actions), ("always", t.always),
-                                ("phrase", t.phrases), ("exception", t.exceptions)) for term in terms]
-    return spark.createDataFrame(rows, "category string, kind string, term string, severity string")
-
-
-def _words(terms: Sequence[str]) -> str:
-    """Terms as whole words.  Edges are only asked for where a term begins or ends with a word character."""
-    return ascii_words("(?:" + "|".join(
-        (r"\b" if t[0].isalnum() else "") + any_of([t]) + (r"\b" if t[-1].isalnum() else "") for t in terms) + ")")
-
-
-def _first_words(terms: Sequence[str]) -> list[str]:
-    return sorted({re.findall("[a-z0-9_]+", t)[0] for t in terms})
-
-
-def _may_hold(tokens: Column, terms: Sequence[str]) -> Column:
-    """Cheap necessary condition: the first word of some term is among the words of the text."""
-    return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in _first_words(terms)]))
-
-
-def topic_kind(lower: Column, sentences: Column, tokens: Column, topic: Topic) -> Column:
-    """How a text hits the topic: always, conditional, phrase, or null."""
-    kind = F.lit(None).cast("string")
-    if topic.phrases:
-        phrase = F.lit(False)
-        for p in topic.phrases:
-            phrase = phrase | lower.rlike(ascii_words(p))
-        kind = F.when(phrase, "phrase")
-    if topic.identifiers and topic.actions:
-        # A text must hold the first words of both lists before its sentences are looked at one by one.
-        possible = _may_hold(tokens, topic.identifiers) & _may_hold(tokens, topic.actions)
-        kind = F.when(possible & F.exists(sentences, _conditional(topic)), "conditional").otherwise(kind)
-    if topic.always:
-        kind = F.when(_may_hold(tokens, topic.always) & lower.rlike(_words(topic.always)), "always").otherwise(kind)
-    return kind
-
-
-def _conditional(topic: Topic):
-    identifiers, actions = _words(topic.identifiers), _words(topic.actions)
-
-    def test(sentence: Column) -> Column:
-        hit = sentence.rlike(identifiers) & sentence.rlike(actions)
-        return hit & ~sentence.rlike(_words(topic.exceptions)) if topic.exceptions else hit
-
-    return test
+    """The catalog as a table (category, source, kind, term, severity)."""
+    return lexicon_table(spark, topics)
 
 
 def topic_category(docs: DataFrame, doc_id: str, text: str, topics: Sequence[Topic] = TOPICS) -> DataFrame:
-    """One row per text and topic it hits.  The topics are literal expressions, so this is a map-side job."""
-    lower = F.lower(F.col(text))
-    prepared = docs.select(doc_id, lower.alias("_lower"), F.split(lower, SENTENCE_END).alias("_sentences"),
-                           F.array_distinct(F.regexp_extract_all(lower, F.lit("[a-z0-9_]+"), F.lit(0))).alias("_tokens"))
-    hits = F.array_compact(F.array(*[
-        F.when(_hit(t).isNotNull(), F.struct(F.lit(t.name).alias("category"), _hit(t).alias("kind"), F.lit(t.severity).alias("severity")))
-        for t in topics]))
-    return prepared.select(doc_id, F.inline(hits))
-
-
-def _hit(topic: Topic) -> Column:
-    return topic_kind(F.col("_lower"), F.col("_sentences"), F.col("_tokens"), topic)
+    """One row per text and topic it hits, by one pass over the text."""
+    return category_hits(docs, doc_id, text, topic_rows(topics))
 
 
 def at_least(hits: DataFrame, severity: str, action: str = "BLOCK") -> DataFrame:

@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import extensions as X
+from ledgerlight.functions.aggregates import Aggregate
 from ledgerlight.operators import dlp as L
-from ledgerlight.plans.registry import query
+from ledgerlight.plans.registry import STATEMENTS, query
+from ledgerlight.plans import safety as S
 from ledgerlight.plans.safety import TODAY
 from ledgerlight.sources.adapters import Tables
 from ledgerlight.streaming import runner as RN
@@ -65,3 +67,26 @@ def dlp_resolve(t: Tables):
     return spans.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("covered"),
         (F.max("end") - F.min("start") >= F.sum(F.col("end") - F.col("start"))).alias("disjoint"))
+
+
+LEVELS = ("low", "medium", "high")
+
+
+def fold_risk(state: tuple | None, rows: pd.DataFrame) -> tuple:
+    """Example of a user aggregate: highest level and score of a session, and its messages above low risk."""
+    level, score, risky = state or (-1, 0, 0)
+    ranks = rows["risk"].map(LEVELS.index)
+    return max(level, int(ranks.max())), max(score, int(rows["risk_score"].max())), risky + int((ranks > 0).sum())
+
+
+SESSION_RISK = Aggregate(
+    ("risk", "risk_score"), "level int, score int, risky bigint", "session_risk string, session_score int, risky_messages bigint", fold_risk,
+    lambda states: (max(s[0] for s in states), max(s[1] for s in states), sum(s[2] for s in states)), lambda s: (LEVELS[s[0]], s[1], s[2]))
+
+
+@query("custom_aggregate", f"""
+SELECT conv_id, arg_max(risk, CASE risk WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS session_risk, max(risk_score)::INT AS session_score,
+       count(*) FILTER (WHERE risk <> 'low')::BIGINT AS risky_messages FROM ({STATEMENTS['context_risk']}) GROUP BY 1""")
+def custom_aggregate(t: Tables):
+    """Risk of every conversation from the risks of its messages, by a user aggregate with partial states."""
+    return SESSION_RISK.by(S.context_risk(t), "conv_id")

@@ -201,7 +201,7 @@ SELECT api_key, CAST(start_time AS DATE) AS day, sum(spend_units)::BIGINT AS inc
 def daily_counter_delta(t: Tables):
     rows = t.usage().select("api_key", "request_id", "start_time", to_units("spend").alias("units"))
     readings = running_totals(rows, ["api_key"], ["start_time", "request_id"], {"counter": F.col("units")},
-                              U.day(), inclusive=True)
+                              inclusive=True)
     return B.counter_delta(readings, "api_key", "start_time", "counter")
 
 

@@ -31,6 +31,11 @@ def stream(t: Tables):
     return RN.telemetry_stream(t.spark, t.sf_dir)
 
 
+def replay(t: Tables):
+    """The telemetry in four micro-batches or more, for jobs that keep state between them."""
+    return RN.replayed(t.telemetry().withColumn("created_at", F.col("created_at").cast("timestamp")), "created_at", "replay")
+
+
 @query("stream_ingest_idempotent", DAILY_SQL)
 def stream_ingest_idempotent(t: Tables):
     """Every event arrives twice; the daily metrics count it once."""
@@ -60,9 +65,21 @@ def stream_velocity(t: Tables):
 
 
 
-@query("stream_failure_alert")
+@query("stream_failure_alert", """
+SELECT event_type, request_id, failures FROM (
+ WITH RECURSIVE failed AS (
+   SELECT event_type, request_id, epoch_us(created_at) AS moment, row_number() OVER (PARTITION BY event_type ORDER BY created_at, request_id) AS n
+   FROM telemetry WHERE status = 'failure'),
+ run AS (
+   SELECT event_type, n, request_id, [moment] AS times, 1::BIGINT AS failures FROM failed WHERE n = 1
+   UNION ALL
+   SELECT event_type, n, request_id, times, len(times)::BIGINT FROM (
+     SELECT f.event_type, f.n, f.request_id,
+            list_append(list_filter(CASE WHEN r.failures >= 5 THEN []::BIGINT[] ELSE r.times END, lambda x: x > f.moment - 7200000000), f.moment) AS times
+     FROM run r JOIN failed f ON f.event_type = r.event_type AND f.n = r.n + 1))
+ SELECT * FROM run WHERE failures >= 5)""")
 def stream_failure_alert(t: Tables):
-    failed = stream(t).where("status = 'failure'").select("event_type", "created_at", "request_id")
+    failed = replay(t).where("status = 'failure'").select("event_type", "created_at", "request_id")
     return RN.run_append(ST.failure_alerts(failed, "event_type", 7200, 5), "bursts")
 
 
@@ -81,7 +98,7 @@ def stream_hanging(t: Tables):
 @query("stream_chunk_redact")
 def stream_chunk_redact(t: Tables):
     """Conversation turns as chunks of one text per conversation."""
-    rows = RN.table_stream(t.spark, t.sf_dir, "conversations")
+    rows = RN.replayed(t.raw("conversations").withColumn("at", F.timestamp_seconds("turn")), "at", "chunks")
     last = t.raw("conversations").groupBy("conv_id").agg(F.max("turn").alias("_last"))
     chunks = rows.join(last, "conv_id").select("conv_id", F.col("turn").alias("chunk_no"), F.concat(
         "text", F.lit(" mail user@example.com")).alias("chunk"), (F.col("turn") == F.col("_last")).alias("is_last"))
@@ -114,9 +131,44 @@ def stream_late_data(t: Tables):
     return RN.run_update(counted, ["day"], "late-days")
 
 
+ARRIVAL_SQL = """
+SELECT *, CASE WHEN created_at < TIMESTAMP '2024-01-16' THEN 3 ELSE request_id % 3 END AS part FROM telemetry"""
+
+
+@query("stream_late_split", f"""
+SELECT * FROM (WITH good AS (SELECT * FROM ({ARRIVAL_SQL}) WHERE event_type <> 'error'),
+seen AS (SELECT part, max(max(created_at)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS newest FROM good GROUP BY part),
+judged AS (SELECT created_at, COALESCE(created_at <= date_trunc('milliseconds', newest) - INTERVAL 5 DAY, false) AS late FROM good JOIN seen USING (part))
+SELECT 'counted' AS kind, CAST(created_at AS DATE) AS day, count(*)::BIGINT AS rows FROM judged WHERE NOT late GROUP BY 2
+UNION ALL SELECT 'late', NULL, count(*)::BIGINT FROM judged WHERE late
+UNION ALL SELECT 'malformed', NULL, count(*)::BIGINT FROM telemetry WHERE event_type = 'error')""")
+def stream_late_split(t: Tables):
+    """Envelope lines out of order and with damage: counted days, rows behind a watermark of five days, and dead letters.
+
+    A micro-batch is judged by the watermark that the batch before it ran with, so by the rows up to two batches earlier.
+    """
+    home = fresh_path(t.spark, "late-split")
+    part = F.when(F.col("created_at") < F.lit("2024-01-16").cast("timestamp_ntz"), 3).otherwise(F.col("request_id") % 3)
+    line = F.to_json(F.struct("request_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at")))
+    damaged = F.when(F.col("event_type") == "error", F.left(line, F.length(line) - 4)).otherwise(line)
+    lines = t.telemetry().select(damaged.alias("value"), part.alias("part"))
+    for number in range(4):
+        lines.where(F.col("part") == number).select("value").coalesce(1).write.text(f"{home}/in/{number}")
+    arriving = t.spark.readStream.option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).schema("value string").text(f"{home}/in")
+    parsed = arriving.select("value", F.from_json("value", "request_id bigint, created_at string", {"mode": "PERMISSIVE"}).alias("j"))
+    whole = F.col("j.request_id").isNotNull() & F.col("j.created_at").isNotNull()
+    good = parsed.where(whole).select("j.request_id", F.to_timestamp("j.created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"))
+    counted, late = RN.run_append_dropping(J.unique_requests(good, delay="5 days"), "on-time")
+    letters = RN.run_append(parsed.where(~whole).select("value"), "letters")
+    days = counted.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("counted").alias("kind"), "day", "rows")
+    day = F.lit(None).cast("date").alias("day")
+    return (days.union(letters.groupBy().agg(F.count(F.lit(1)).alias("rows")).select(F.lit("malformed"), day, "rows"))
+            .union(days.groupBy().agg(F.lit(late).cast("bigint").alias("rows")).select(F.lit("late"), day, "rows")))
+
+
 @query("stream_cooldown", STATEMENTS["cooldown_twin"])
 def stream_cooldown(t: Tables):
-    rows = stream(t).select("event_type", "created_at", "request_id", (F.col("score") >= 95).alias("failed"))
+    rows = replay(t).select("event_type", "created_at", "request_id", (F.col("score") >= 95).alias("failed"))
     return RN.run_append(ST.cooldown(rows, "event_type", 1800), "cooldown")
 
 
@@ -132,8 +184,8 @@ SELECT session_id, request_id, units_before, units_before >= 30000000000 AS over
    PARTITION BY session_id ORDER BY created_at, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS units_before
  FROM telemetry)""")
 def stream_session_spend(t: Tables):
-    rows = stream(t).select("session_id", "created_at", "request_id", to_units("latency_ms").alias("units"))
-    return RN.run_append(ST.session_spend(rows, "session_id", 30_000_000_000), "spend")
+    rows = replay(t).select("session_id", "created_at", "request_id", to_units("latency_ms").alias("units"))
+    return RN.run_append(ST.session_spend(rows, "session_id", 30_000_000_000, silence_seconds=366 * 86_400), "spend")
 
 
 @query("bulk_log_writer", "SELECT event_type, count(*)::BIGINT AS written FROM events GROUP BY 1")

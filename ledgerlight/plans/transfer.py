@@ -117,12 +117,18 @@ def export_row_batches(t: Tables):
 SELECT CAST(start_time AS DATE) AS date, CAST(extract(hour FROM start_time) AS INT) AS hour, count(*)::BIGINT AS requests
 FROM usage_rows GROUP BY 1, 2""")
 def export_layout(t: Tables):
-    """The whole log twice into the same layout: the second run replaces its partitions."""
-    path = fresh_path(t.spark, "layout")
-    rows = t.usage().select("request_id", "start_time", "spend")
-    for _ in range(2):
-        W.write_partitioned(rows, path, "start_time", hourly=True)
-    return t.spark.read.parquet(path).groupBy(F.col("date").cast("date").alias("date"), F.col("hour").cast("int").alias("hour")).agg(
+    """The whole log into daily folders, its last day again, which replaces its folder, and that day also into hourly ones."""
+    daily, hourly = fresh_path(t.spark, "layout-daily"), fresh_path(t.spark, "layout-hourly")
+    rows = t.usage().select("request_id", "start_time", "spend").withColumn("slot", F.date_format("start_time", "HH"))
+    W.write_partitioned(rows, daily, "start_time", hourly=False)
+    last = rows.agg(F.max("start_time")).first()[0]
+    window = W.export_window((last or dt.datetime(2000, 1, 1)) + dt.timedelta(days=1), "daily")
+    W.write_partitioned(rows, daily, "start_time", hourly=False, window=window)
+    W.write_partitioned(rows, hourly, "start_time", hourly=True, window=window)
+    names = rows.withColumns({"date": F.lit(""), "hour": F.lit("")}).schema
+    before = t.spark.read.schema(names).parquet(daily).drop("hour").where(F.col("date") != f"{window.start:%Y-%m-%d}").withColumnRenamed("slot", "hour")
+    both = before.select("date", "hour").union(t.spark.read.schema(names).parquet(hourly).select("date", "hour"))
+    return both.groupBy(F.col("date").cast("date").alias("date"), F.col("hour").cast("int").alias("hour")).agg(
         F.count(F.lit(1)).alias("requests"))
 
 

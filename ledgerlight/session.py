@@ -40,6 +40,7 @@ def build_session(app: str = "ledgerlight", master: str | None = None, partition
 
 
 _SHIPPED: set[str] = set()
+_FOLDERS: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -80,10 +81,13 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="ledgerlight-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # The setting cannot be changed while Spark runs, so the folder is remembered here.
+        if context.applicationId not in _FOLDERS:
+            _FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="ledgerlight-")
+        folder = _FOLDERS[context.applicationId]
     return folder.rstrip("/")
 
 

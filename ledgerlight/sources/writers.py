@@ -75,19 +75,37 @@ def in_window(ts: str, window: ExportWindow, closed: bool = False) -> Column:
     return (F.col(ts) >= ntz(window.start)) & upper
 
 
-def write_partitioned(frame: DataFrame, path: str, ts: str, hourly: bool) -> None:
-    """Layout date=YYYY-MM-DD[/hour=HH]; a re-run replaces only the partitions it writes.
+# Rows of a file, and files that a task writes.
+ROWS_PER_FILE, FILES_PER_TASK = 1_000_000, 64
 
-    Rows are clustered by partition value and a hash of the row, so a day with a
-    third of all rows is written by many tasks instead of one.
+
+def write_partitioned(frame: DataFrame, path: str, ts: str, hourly: bool, window: ExportWindow | None = None, form: str = "parquet") -> None:
+    """Layout date=YYYY-MM-DD[/hour=HH].  The whole log goes to a new path; with a *window* the run writes the rows of that
+    window only and replaces their partitions, all others keep their files.
+
+    Partitions are counted first.  A quiet hour is one file, a day with a third of all rows is cut into files of about
+    ROWS_PER_FILE rows and written by many tasks; a task gets a bounded number of files and rows, so many small partitions
+    are spread over all cores although they are few bytes.
     """
+    if window is not None:
+        frame = frame.where(in_window(ts, window))
     keys = ["date", "hour"] if hourly else ["date"]
     rows = frame.withColumn("date", F.date_format(ts, "yyyy-MM-dd"))
     if hourly:
         rows = rows.withColumn("hour", F.date_format(ts, "HH"))
-    salt = F.pmod(F.xxhash64(*frame.columns), F.lit(16))
-    (rows.repartition(*keys, salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*keys).parquet(path))
+    parts = F.ceil(F.col("_n") / F.lit(ROWS_PER_FILE)).cast("int")
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", parts)
+    total = counted.agg(F.sum("_parts").alias("files"), F.sum("_n").alias("rows")).first()
+    tasks = max(1, -(-(total.files or 0) // FILES_PER_TASK), -(-(total.rows or 0) // ROWS_PER_FILE))
+    large = counted.where("_parts > 1").select(*keys, "_parts")
+    salt = F.pmod(F.xxhash64(*frame.columns), F.coalesce("_parts", F.lit(1))).alias("_salt")
+    rows = rows.join(large, keys, "left").select(*frame.columns, *keys, salt).repartition(tasks, *keys, "_salt").drop("_salt")
+    if window is None:
+        # Tasks move their own files into place; the path is new, so a failed run leaves nothing that a reader knows of.
+        writer = rows.write.mode("errorifexists").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    else:
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*keys).format(form).save(path)
 
 
 def message_rows(frame: DataFrame, key: str) -> DataFrame:

@@ -38,10 +38,26 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, per_trigger: int
             .option("maxOffsetsPerTrigger", per_trigger).load().select(F.col("value").cast("string").alias("value")))
 
 
-def _finish(writer, trigger: dict) -> None:
+def replayed(rows: DataFrame, ts: str, label: str, slices: int = 4, slice_rows: int = 1_000_000) -> DataFrame:
+    """The rows of a table as a stream in several micro-batches, in time order: slices of bounded size, written one after another."""
+    spark = rows.sparkSession
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    count = rows.count()
+    slices = max(slices, -(-count // slice_rows))
+    edges = rows.agg(F.percentile_approx(micros, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+    home, edges = fresh_path(spark, label), [None, *sorted(set(edges)), None]
+    for number, (low, high) in enumerate(zip(edges, edges[1:])):
+        part = rows.where(F.lit(True) if low is None else micros >= low).where(F.lit(True) if high is None else micros < high)
+        part.coalesce(1).write.parquet(f"{home}/{number:06d}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(home)
+
+
+def _finish(writer, trigger: dict) -> int:
+    """Run to the end of the input; rows that stateful operators dropped because they came behind the watermark."""
     query = writer.trigger(**trigger).start()
     try:
         query.awaitTermination()
+        return sum(state["numRowsDroppedByWatermark"] for p in query.recentProgress for state in (p["stateOperators"] or []))
     finally:
         query.stop()
 
@@ -55,6 +71,24 @@ def run_append(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{home}/table")
 
 
+def run_append_dropping(stream: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """run_append, and how many rows came too late.
+
+    Rows are told apart where the first stateful operator takes single rows (removal of repeats, custom state); a windowed
+    sum counts its partial sums instead.
+    """
+    spark = stream.sparkSession
+    home, kept = fresh_path(spark, label), "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, "1000000")
+    try:
+        dropped = _finish(stream.writeStream.format("parquet").outputMode("append").option("path", f"{home}/table")
+                          .option("checkpointLocation", f"{home}/checkpoint"), {"availableNow": True})
+    finally:
+        spark.conf.set(kept, before)
+    return spark.read.schema(stream.schema).parquet(f"{home}/table"), dropped
+
+
 def run_batches(stream: DataFrame, label: str, write: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
     """Run with a function per micro-batch, write(batch, batch_id, folder); returns the folder."""
     home = fresh_path(stream.sparkSession, label)

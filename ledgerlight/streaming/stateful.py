@@ -1,8 +1,8 @@
 """Streams with state of their own: cool-downs, bursts, session spend, redaction across chunks.
 
-Each job groups by a key and keeps one small state per key.  The rows of a key
-within a micro-batch are put in order first; the size of a micro-batch is
-bounded by the trigger options of the source.
+Each job keeps one small state per key and frees it by a timer once the key has been silent for so long that the state
+cannot matter any more.  Rows are handled one at a time, in event order within a micro-batch; of a micro-batch's rows a key
+holds only the few numbers it needs, and the trigger options of the source bound the micro-batch.
 """
 
 from __future__ import annotations
@@ -10,115 +10,252 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ledgerlight.operators.dlp import _candidates, _resolve, redact_text
+from ledgerlight.operators.dlp import _candidates, _resolve
+from ledgerlight.streaming.runner import WATERMARK
 
 # Characters held back between chunks, and their bounds.
 HOLD_BACK, HOLD_BACK_MIN, HOLD_BACK_MAX = 256, 128, 512
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Silence after which a session's spend, and a text that never ended, are given up.
+SESSION_SILENCE_S, TEXT_SILENCE_S = 7 * 86_400, 3_600
 
-def _ordered(batches: Iterable[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(by, kind="stable")
 
+def in_event_order(frames: Iterable[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    """(micros, request_id, values of the columns) of the rows, by time and then id."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(2 + len(columns))]
+    for frame in frames:
+        parts[0].append(frame["created_at"].astype("datetime64[us]").astype("int64").to_numpy())
+        parts[1].append(frame["request_id"].to_numpy())
+        for at, column in enumerate(columns, 2):
+            parts[at].append(frame[column].to_numpy())
+    if parts[0]:
+        arrays = [np.concatenate(p) for p in parts]
+        for row in np.lexsort((arrays[1], arrays[0])).tolist():
+            yield tuple(a[row].item() if hasattr(a[row], "item") else a[row] for a in arrays)
 
-def cooldown(rows: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Flag requests that arrive within *seconds* after a failure of their entity.
 
-    Needs created_at, request_id and failed; state: time of the last failure.
-    """
-    span = seconds * 1_000_000
-
-    def run(name: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = _ordered(batches, ["created_at", "request_id"])
-        micros = frame["created_at"].astype("datetime64[us]").astype("int64").to_numpy()
-        last = state.get[0] if state.exists else None
-        cooling = []
-        for at, failed in zip(micros, frame["failed"]):
-            cooling.append(last is not None and at - last < span)
+class Expiring(StatefulProcessor):
+    """A processor with one value of state and one event-time timer: the state goes after *silence* microseconds without a row."""
+
+    schema = "at bigint"
+
+    def __init__(self, key: str, silence: int):
+        self.key, self.silence = key, silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
+        self.newest = handle.getValueState("newest", "at bigint")
+
+    def later(self, micros: int) -> None:
+        """Remember the newest row and set the timer anew."""
+        seen = self.newest.get() if self.newest.exists() else None
+        if seen is not None and seen[0] >= micros:
+            return
+        if seen is not None:
+            self.handle.deleteTimer(self.due(seen[0]))
+        self.newest.update((micros,))
+        self.handle.registerTimer(self.due(micros))
+
+    def due(self, micros: int) -> int:
+        return (micros + self.silence) // 1000 + 1
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.newest.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Cooldown(Expiring):
+    """State: time of the last failure."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, newest, out = self.state.get()[0] if self.state.exists() else None, None, []
+        for at, request, failed in in_event_order(rows, ["failed"]):
+            out.append((request, last is not None and at - last < self.silence))
+            newest = at
             if failed:
-                last = int(at)
+                last = at
         if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({key: name[0], "request_id": frame["request_id"].to_numpy(), "cooling": cooling})
+            self.state.update((last,))
+            self.later(newest)
+        yield pd.DataFrame({self.key: [key[0]] * len(out), "request_id": [r for r, _ in out], "cooling": [c for _, c in out]})
 
-    kind = dict(rows.dtypes)[key]
-    return rows.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, request_id bigint, cooling boolean", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
+class Bursts(Expiring):
+    """State: times of the failures since the last alert that are within the span; never more than the threshold."""
 
-def failure_alerts(rows: DataFrame, key: str, seconds: int, threshold: int) -> DataFrame:
-    """Burst alerts; the buffer is cleared after an alert, so it never holds more than *threshold* times."""
-    span = seconds * 1_000_000
-
-    def run(name: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = _ordered(batches, ["created_at", "request_id"])
-        micros = frame["created_at"].astype("datetime64[us]").astype("int64").to_numpy()
-        buffer = list(state.get[0]) if state.exists else []
-        fired = []
-        for at, request in zip(micros, frame["request_id"]):
-            buffer = [x for x in buffer if x > at - span] + [int(at)]
-            if len(buffer) >= threshold:
-                fired.append((name[0], int(request), len(buffer)))
-                buffer = []
-        state.update((buffer,))
-        yield pd.DataFrame(fired, columns=[key, "request_id", "failures"])
+    schema = "times array<bigint>"
 
-    kind = dict(rows.dtypes)[key]
-    return rows.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, request_id bigint, failures bigint", "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, key: str, silence: int, threshold: int):
+        super().__init__(key, silence)
+        self.threshold = threshold
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times, newest, fired = list(self.state.get()[0]) if self.state.exists() else [], None, []
+        for at, request in in_event_order(rows, []):
+            times = [x for x in times if x > at - self.silence] + [at]
+            newest = at
+            if len(times) >= self.threshold:
+                fired.append((request, len(times)))
+                times = []
+        if newest is not None:
+            self.state.update((times,))
+            self.later(newest)
+        if fired:
+            yield pd.DataFrame({self.key: [key[0]] * len(fired), "request_id": [r for r, _ in fired], "failures": [n for _, n in fired]})
+
+
+class Spend(Expiring):
+    """State: units spent so far."""
 
+    schema = "units bigint"
 
-def session_spend(rows: DataFrame, key: str, limit_units: int) -> DataFrame:
-    """Spend before every request of a session, in units, and whether it had reached the limit."""
-    def run(name: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = _ordered(batches, ["created_at", "request_id"])
-        start = state.get[0] if state.exists else 0
-        positive = frame["units"].clip(lower=0)
-        before = start + positive.cumsum() - positive
-        state.update((int(start + positive.sum()),))
-        yield pd.DataFrame({key: name[0], "request_id": frame["request_id"].to_numpy(), "units_before": before.to_numpy(),
-                            "over_budget": (before >= limit_units).to_numpy()})
+    def __init__(self, key: str, silence: int, limit: int):
+        super().__init__(key, silence)
+        self.limit = limit
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        total, out = self.state.get()[0] if self.state.exists() else 0, []
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        for at, request, units in in_event_order(rows, ["units"]):
+            # Rows of a micro-batch come before its timers, so a silence may show here first.
+            if newest is not None and at - newest > self.silence:
+                total = 0
+            out.append((request, total))
+            total, newest = total + max(0, int(units)), max(at, newest or at)
+        if newest is not None:
+            self.state.update((total,))
+            self.later(newest)
+        yield pd.DataFrame({self.key: [key[0]] * len(out), "request_id": [r for r, _ in out], "units_before": [n for _, n in out], "over_budget": [n >= self.limit for _, n in out]})
+
+
+def with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "eventTime") -> DataFrame:
+    """Append-mode output of a processor; state lives in RocksDB, changelogs in the checkpoint folder."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     kind = dict(rows.dtypes)[key]
-    return rows.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, request_id bigint, units_before bigint, over_budget boolean", "units bigint", "append",
-        GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, {schema}", "append", mode)
+
 
+def timed(rows: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    return rows.withWatermark("created_at", delay)
 
-def safe_cut(text: str, hold_back: int, today: dt.date) -> int:
+
+def cooldown(rows: DataFrame, key: str, seconds: int) -> DataFrame:
+    """Flag requests that arrive within *seconds* after a failure of their entity.
+
+    Needs created_at, request_id and failed.
+    """
+    return with_state(timed(rows), key, Cooldown(key, seconds * 1_000_000), "request_id bigint, cooling boolean")
+
+
+def failure_alerts(rows: DataFrame, key: str, seconds: int, threshold: int) -> DataFrame:
+    """Burst alerts: *threshold* failures within *seconds*; after an alert counting starts anew."""
+    return with_state(timed(rows), key, Bursts(key, seconds * 1_000_000, threshold), "request_id bigint, failures bigint")
+
+
+def session_spend(rows: DataFrame, key: str, limit_units: int, silence_seconds: int = SESSION_SILENCE_S) -> DataFrame:
+    """Spend before every request of a session, in units, and whether it had reached the limit.
+
+    A session that is silent for *silence_seconds* (7 days) beyond the watermark has ended; a later request starts at zero.
+    """
+    return with_state(timed(rows), key, Spend(key, silence_seconds * 1_000_000, limit_units), "request_id bigint, units_before bigint, over_budget boolean")
+
+
+def safe_cut(length: int, spans: list[tuple], hold_back: int) -> int:
     """Where the text may be cut: before the held-back end, and not inside a finding."""
-    cut = max(0, len(text) - hold_back)
-    for *_, start, end, _ in _resolve(_candidates(text, today)):
+    cut = max(0, length - hold_back)
+    for *_, start, end, _ in spans:
         if start < cut < end:
             cut = start
     return cut
 
 
-def chunk_redaction(rows: DataFrame, key: str, today: dt.date, hold_back: int = HOLD_BACK) -> DataFrame:
-    """Redacted output of chunked texts; the last characters wait for the next chunk.
+class ChunkRedaction(StatefulProcessor):
+    """State: the text not yet emitted, where its last chunk began, and how many findings the text has had.
 
-    Needs chunk_no, chunk and is_last; state: the text not yet emitted, which is
-    flushed with the last chunk.  A cut that would fall inside a finding moves to
-    its start, so a secret across a border is never emitted in halves.
+    A text that gets no chunk for *silence* seconds is emitted as it stands, by a processing-time timer.
     """
-    keep = min(HOLD_BACK_MAX, max(HOLD_BACK_MIN, hold_back))
 
-    def run(name: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = _ordered(batches, ["chunk_no"])
-        pending = state.get[0] if state.exists else ""
-        out = []
-        for number, chunk, last in zip(frame["chunk_no"], frame["chunk"], frame["is_last"]):
-            pending += chunk or ""
-            cut = len(pending) if last else safe_cut(pending, keep, today)
-            if cut:
-                out.append((name[0], int(number), redact_text(pending[:cut], today)))
-                pending = pending[cut:]
-        state.update((pending,))
-        yield pd.DataFrame(out, columns=[key, "chunk_no", "redacted"])
+    def __init__(self, key: str, today: dt.date, keep: int, silence: int):
+        self.key, self.today, self.keep, self.silence = key, today, keep, silence
 
-    kind = dict(rows.dtypes)[key]
-    return rows.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, chunk_no bigint, redacted string", "pending string", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("pending", "text string, borders array<int>, events bigint, number bigint, timer bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pending, borders, events, number, timer = self.state.get() if self.state.exists() else ("", [], 0, -1, 0)
+        borders, out, ended = list(borders), [], False
+        chunks = sorted(x for frame in rows for x in zip(frame["chunk_no"].tolist(), frame["chunk"].tolist(), frame["is_last"].tolist()))
+        for number, chunk, last in chunks:
+            if pending:
+                borders.append(len(pending))
+            pending, ended = pending + (chunk or ""), bool(last)
+            pending, borders, events, row = self.emit(key[0], number, pending, borders, events, ended)
+            if row:
+                out.append(row)
+        if timer:
+            self.handle.deleteTimer(timer)
+        if ended:
+            self.state.clear()
+        else:
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.silence * 1000
+            self.handle.registerTimer(timer)
+            self.state.update((pending, borders, events, number, timer))
+        if out:
+            yield self.frame(out)
+
+    def emit(self, name, number: int, pending: str, borders: list[int], events: int, everything: bool):
+        """Cut off and redact what may go; a finding over a border of chunks is told as crossing."""
+        spans = _resolve(_candidates(pending, self.today)) if pending else []
+        cut = len(pending) if everything else safe_cut(len(pending), spans, self.keep)
+        if not cut:
+            return pending, borders, events, None
+        text, types, crossing, cursor = [], [], 0, 0
+        for _, kind, _, start, end, _ in spans:
+            if end <= cut:
+                text += [pending[cursor:start], f"[REDACTED:{kind}]"]
+                cursor = end
+                types.append(kind)
+                crossing += any(start < b < end for b in borders)
+        text.append(pending[cursor:cut])
+        events += len(types)
+        row = (name, number, "".join(text), ",".join(dict.fromkeys(types)), events, crossing)
+        return pending[cut:], [b - cut for b in borders if b > cut], events, row
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[self.key, "chunk_no", "redacted", "types", "events", "crossing"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        pending, borders, events, number, _ = self.state.get()
+        *_, row = self.emit(key[0], number, pending, list(borders), events, True)
+        self.state.clear()
+        if row:
+            yield self.frame([row])
+
+    def close(self) -> None:
+        pass
+
+
+def chunk_redaction(rows: DataFrame, key: str, today: dt.date, hold_back: int = HOLD_BACK, silence_seconds: int = TEXT_SILENCE_S) -> DataFrame:
+    """Redacted output of chunked texts; the last characters wait for the next chunk.
+
+    Needs chunk_no, chunk and is_last.  A cut that would fall inside a finding moves to its start, so a secret across a
+    border is never emitted in halves.  Each row has the types found in it, the findings of the text so far (events), and how
+    many of its own ran over a border of chunks (crossing).
+    """
+    keep = min(HOLD_BACK_MAX, max(HOLD_BACK_MIN, hold_back))
+    return with_state(rows, key, ChunkRedaction(key, today, keep, silence_seconds), "chunk_no bigint, redacted string, types string, events bigint, crossing bigint", "processingTime")
