@@ -1,7 +1,7 @@
 """Streams with state of their own: cool-downs, bursts, session spend, redaction across chunks.
 
 Each job keeps one small state per key and frees it by a timer once the key has been silent for so long that the state
-cannot matter any more.  Rows are handled one at a time, in event order within a micro-batch; of a micro-batch's rows a key
+cannot matter any more (redaction: with the last chunk).  Rows are handled one at a time, in event order within a micro-batch; of a micro-batch's rows a key
 holds only the few numbers it needs, and the trigger options of the source bound the micro-batch.
 """
 
@@ -22,8 +22,8 @@ from ledgerlight.streaming.runner import WATERMARK
 HOLD_BACK, HOLD_BACK_MIN, HOLD_BACK_MAX = 256, 128, 512
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# Silence after which a session's spend, and a text that never ended, are given up.
-SESSION_SILENCE_S, TEXT_SILENCE_S = 7 * 86_400, 3_600
+# Silence after which a session's spend is given up.
+SESSION_SILENCE_S = 7 * 86_400
 
 
 def in_event_order(frames: Iterable[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
@@ -186,18 +186,18 @@ def safe_cut(length: int, spans: list[tuple], hold_back: int) -> int:
 class ChunkRedaction(StatefulProcessor):
     """State: the text not yet emitted, where its last chunk began, and how many findings the text has had.
 
-    A text that gets no chunk for *silence* seconds is emitted as it stands, by a processing-time timer.
+    Its last chunk frees the state of a text; chunks carry no time, so a text that never ends keeps its few characters.
     """
 
-    def __init__(self, key: str, today: dt.date, keep: int, silence: int):
-        self.key, self.today, self.keep, self.silence = key, today, keep, silence
+    def __init__(self, key: str, today: dt.date, keep: int):
+        self.key, self.today, self.keep = key, today, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("pending", "text string, borders array<int>, events bigint, number bigint, timer bigint")
+        self.state = handle.getValueState("pending", "text string, borders array<int>, events bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pending, borders, events, number, timer = self.state.get() if self.state.exists() else ("", [], 0, -1, 0)
+        pending, borders, events = self.state.get() if self.state.exists() else ("", [], 0)
         borders, out, ended = list(borders), [], False
         chunks = sorted(x for frame in rows for x in zip(frame["chunk_no"].tolist(), frame["chunk"].tolist(), frame["is_last"].tolist()))
         for number, chunk, last in chunks:
@@ -207,14 +207,10 @@ class ChunkRedaction(StatefulProcessor):
             pending, borders, events, row = self.emit(key[0], number, pending, borders, events, ended)
             if row:
                 out.append(row)
-        if timer:
-            self.handle.deleteTimer(timer)
         if ended:
             self.state.clear()
         else:
-            timer = timerValues.getCurrentProcessingTimeInMs() + self.silence * 1000
-            self.handle.registerTimer(timer)
-            self.state.update((pending, borders, events, number, timer))
+            self.state.update((pending, borders, events))
         if out:
             yield self.frame(out)
 
@@ -239,18 +235,11 @@ class ChunkRedaction(StatefulProcessor):
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[self.key, "chunk_no", "redacted", "types", "events", "crossing"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        pending, borders, events, number, _ = self.state.get()
-        *_, row = self.emit(key[0], number, pending, list(borders), events, True)
-        self.state.clear()
-        if row:
-            yield self.frame([row])
-
     def close(self) -> None:
         pass
 
 
-def chunk_redaction(rows: DataFrame, key: str, today: dt.date, hold_back: int = HOLD_BACK, silence_seconds: int = TEXT_SILENCE_S) -> DataFrame:
+def chunk_redaction(rows: DataFrame, key: str, today: dt.date, hold_back: int = HOLD_BACK) -> DataFrame:
     """Redacted output of chunked texts; the last characters wait for the next chunk.
 
     Needs chunk_no, chunk and is_last.  A cut that would fall inside a finding moves to its start, so a secret across a
@@ -258,4 +247,4 @@ def chunk_redaction(rows: DataFrame, key: str, today: dt.date, hold_back: int =
     many of its own ran over a border of chunks (crossing).
     """
     keep = min(HOLD_BACK_MAX, max(HOLD_BACK_MIN, hold_back))
-    return with_state(rows, key, ChunkRedaction(key, today, keep, silence_seconds), "chunk_no bigint, redacted string, types string, events bigint, crossing bigint", "processingTime")
+    return with_state(rows, key, ChunkRedaction(key, today, keep), "chunk_no bigint, redacted string, types string, events bigint, crossing bigint", "none")
