@@ -18,7 +18,7 @@ from ledgerlight.operators import dlp as L
 from ledgerlight.operators import injection as IJ
 from ledgerlight.operators import intents as IN
 from ledgerlight.operators import topics as TP
-from ledgerlight.operators.lexicon import lexicon_table, table_hits, topic_rows
+from ledgerlight.operators.lexicon import lexicon_table, table_hits
 from ledgerlight.plans.oracle_views import add_view
 from ledgerlight.plans.registry import query
 from ledgerlight.sources.adapters import Tables
@@ -886,36 +886,10 @@ def category_catalog(t: Tables):
     return topic_hits(t).groupBy("category").agg(F.count(F.lit(1)).alias("texts")).join(names, "category")
 
 
-def lexicon_values(topics) -> str:
-    """The lexicon as a table of its own in SQL, with a regular expression for every plain term."""
-    rows = []
-    for category, source, kind, term, severity in topic_rows(topics):
-        edged = term if kind == "phrase" else (r"\b" if re.match("[A-Za-z0-9_]", term[0]) else "") + re.escape(term).replace(r"\ ", " ") + (r"\b" if re.match("[A-Za-z0-9_]", term[-1]) else "")
-        rows.append("(" + ", ".join(sql_text(x) for x in (category, source, kind, term, severity, edged)) + ")")
-    return "(VALUES " + ",\n".join(rows) + ") AS v(category, source, kind, term, severity, pattern)"
-
-
-def phrase_hits(topics) -> str:
-    """One statement a pattern, so that each is compiled once."""
-    return " UNION ".join(f"SELECT doc_id, {sql_text(category)} FROM texts WHERE regexp_matches(t, {sql_text(term)})" for category, _, kind, term, _ in topic_rows(topics) if kind == "phrase")
-
-
 CATALOG_TOPICS = ALL_TOPICS + POLICIES + NAMED_PATTERNS
 
 
-@query("lexicon_catalog", f"""
-WITH lexicon AS (SELECT * FROM {lexicon_values(CATALOG_TOPICS)}),
-texts AS (SELECT doc_id, lower(text) AS t FROM documents),
-sentences AS (SELECT doc_id, unnest(range(len(p))) AS n, unnest(p) AS s FROM (SELECT doc_id, regexp_split_to_array(t, '[.!?\n]+') AS p FROM texts)),
-spoken AS (SELECT DISTINCT doc_id, n, category, kind FROM sentences JOIN lexicon ON kind IN ('identifier', 'action', 'exception') AND contains(s, term) AND regexp_matches(s, pattern)),
-hits AS (
-    SELECT doc_id, category FROM texts JOIN lexicon ON kind = 'always' AND contains(t, term) AND regexp_matches(t, pattern)
-    UNION SELECT doc_id, category FROM spoken GROUP BY doc_id, n, category
-        HAVING bool_or(kind = 'identifier') AND bool_or(kind = 'action') AND NOT bool_or(kind = 'exception')
-    UNION {phrase_hits(CATALOG_TOPICS)})
-SELECT category, source, terms, COALESCE(texts, 0)::BIGINT AS texts
-FROM (SELECT category, source, count(*)::BIGINT AS terms FROM lexicon GROUP BY 1, 2)
-LEFT JOIN (SELECT category, count(*) AS texts FROM hits GROUP BY 1) USING (category)""")
+@query("lexicon_catalog")
 def lexicon_catalog(t: Tables):
     """Every topic, policy template and named pattern of the lexicon table, with its terms and the texts it hits."""
     table = lexicon_table(t.spark, CATALOG_TOPICS)
