@@ -174,3 +174,14 @@ def test_replay_is_in_order_and_whole(spark):
     folder = RN.run_batches(RN.replayed(rows, "at", "t-replay"), "t-replayed", lambda batch, number, home: batch.withColumn("n", F.lit(number)).write.parquet(f"{home}/{number}"))
     got = spark.read.option("recursiveFileLookup", True).parquet(folder).groupBy("n").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("rows")).orderBy("n").collect()
     assert len(got) == 4 and sum(r["rows"] for r in got) == 1000 and all(a.high < b.low for a, b in zip(got, got[1:]))
+
+
+def test_every_token_format_has_its_needles_and_algolia_ends_at_a_border(spark):
+    from ledgerlight.functions.rule_catalog import TOKEN_NEEDLES, TOKEN_SECRETS
+    from ledgerlight.operators import dlp
+
+    assert {name for name, _, _ in TOKEN_SECRETS} == set(TOKEN_NEEDLES)
+    key = "LTAI" + "a1b2c3d4e5" * 2
+    docs = spark.createDataFrame([(1, f"id {key};"), (2, f"id {key}x"), (3, f"x{key}"), (4, f"id {key.lower()}"), (5, "")], "doc_id bigint, text string")
+    found = {(r.doc_id, r.detector) for r in dlp.secret_catalog(docs, "doc_id", "text").collect()}
+    assert {d for d, name in found if name == "algolia_api_key"} == {1, 4}
