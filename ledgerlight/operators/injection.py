@@ -104,58 +104,88 @@ def phrases() -> list[str]:
     return [p for p in combined if len(p.split()) > 2]
 
 
+# Characters laid end to end at a time, and by how many places the windows of a block are shifted at most.
+BATCH_CHARS, SHIFT = 1 << 18, 8
+
+
 class _Texts:
-    """A batch of texts laid end to end, so that all their windows are tested by vector operations."""
+    """A batch of texts laid end to end, so that all their windows are tested by vector operations.
+
+    Letters are numbered; number 0 are the characters that no phrase has, the breaks behind the texts among them.
+    """
 
     def __init__(self, texts: Sequence[str]):
-        joined = "\0".join(texts) + "\0"
-        self.codes = np.array([ord(c) for c in joined], dtype=np.int32)
-        self.text = joined
-        breaks = self.codes == 0
-        self.breaks = np.concatenate(([0], np.cumsum(breaks)))
-        self.owner = np.cumsum(breaks) - breaks
-        self.seen = {c: np.concatenate(([0], np.cumsum(self.codes == c))) for c in {ord(x) for p in phrases() for x in p}}
+        self.text = "\0".join(texts) + "\0"
+        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        breaks = codes == 0
+        self.breaks = np.concatenate(([0], np.cumsum(breaks, dtype=np.int32)))
+        self.owner = self.breaks[:-1]
+        self.number = {c: i for i, c in enumerate(sorted({x for p in phrases() for x in p}), 1)}
+        lookup = np.zeros(max(map(ord, self.number)) + 1, dtype=np.uint8)
+        for c, i in self.number.items():
+            lookup[ord(c)] = i
+        padding = np.zeros(max(map(len, phrases())) + 2 * SHIFT, dtype=np.uint8)
+        self.size = len(codes)
+        self.letters = np.concatenate((np.where(codes < len(lookup), lookup[np.minimum(codes, len(lookup) - 1)], 0).astype(np.uint8), padding))
+        self.seen = {i: np.concatenate(([0], np.cumsum(self.letters == i, dtype=np.int32))) for i in self.number.values()}
+        self.counted: tuple[int, dict[int, np.ndarray]] = (0, {})
+
+    def _block_counts(self, length: int) -> dict[int, np.ndarray]:
+        """How often every letter occurs in each block of *length* (all phrases of one length ask for the same)."""
+        if self.counted[0] != length:
+            ends = slice(length, self.size + length, SHIFT + 1)
+            self.counted = (length, {i: (seen[ends] - seen[:self.size:SHIFT + 1]).astype(np.uint8) for i, seen in self.seen.items()})
+        return self.counted[1]
+
+    def _common(self, starts: np.ndarray, length: int, phrase: str) -> np.ndarray:
+        """Longest common subsequence of the phrase and each stretch of *length*: all together, one bit vector each."""
+        table = np.zeros(len(self.number) + 1, dtype=np.uint64)
+        for c in set(phrase):
+            table[self.number[c]] = sum(1 << i for i, x in enumerate(phrase) if x == c)
+        state = np.full(len(starts), np.uint64(2**64 - 1))
+        for offset in range(length):
+            used = state & table[self.letters[starts + offset]]
+            state = (state + used) | (state - used)
+        return np.bitwise_count(~state & np.uint64((1 << len(phrase)) - 1))
 
     def windows_within_reach(self, phrase: str, threshold: float) -> np.ndarray:
         """Starts of the windows that two upper bounds of the ratio do not rule out.
 
         The ratio counts letters matched in order.  It cannot exceed the overlap
-        of the letter multisets, nor the longest common subsequence; the latter is
-        computed for all windows together with one bit vector each.
+        of the letter multisets, nor the longest common subsequence.  Both are
+        first taken for blocks, each of which holds some consecutive windows
+        whole: what a block does not reach, none of its windows does.
         """
-        size = len(phrase)
-        if len(self.codes) < size:
-            return np.empty(0, dtype=int)
-        overlap = np.zeros(len(self.codes) - size + 1, dtype=np.int32)
-        for letter in set(phrase):
-            seen = self.seen[ord(letter)]
-            overlap += np.minimum(seen[size:] - seen[:-size], phrase.count(letter))
-        whole = self.breaks[size:] == self.breaks[:-size]
-        starts = np.flatnonzero(whole & (overlap > threshold * size))
-        if not len(starts):
-            return starts
-        masks = {ord(c): np.uint64(sum(1 << i for i, x in enumerate(phrase) if x == c)) for c in set(phrase)}
-        state = np.full(len(starts), np.uint64(2**64 - 1))
-        table = np.zeros(int(self.codes.max()) + 1, dtype=np.uint64)
-        for code, mask in masks.items():
-            if code < len(table):
-                table[code] = mask
-        for offset in range(size):
-            used = state & table[self.codes[starts + offset]]
-            state = (state + used) | (state - used)
-        common = np.bitwise_count(~state & np.uint64((1 << size) - 1))
-        return starts[common > threshold * size]
+        size, need = len(phrase), threshold * len(phrase)
+        counts = self._block_counts(size + SHIFT)
+        overlap = np.zeros(-(-self.size // (SHIFT + 1)), dtype=np.uint8)
+        for c in set(phrase):
+            overlap += np.minimum(counts[self.number[c]], np.uint8(phrase.count(c)))
+        blocks = np.flatnonzero(overlap > need) * (SHIFT + 1)
+        blocks = blocks[self._common(blocks, size + SHIFT, phrase) > need]
+        starts = (blocks[:, None] + np.arange(SHIFT + 1)).ravel()
+        starts = starts[starts + size <= self.size]
+        starts = starts[self.breaks[starts + size] == self.breaks[starts]]
+        return starts[self._common(starts, size, phrase) > need]
 
 
 def _similar(texts: Sequence[str], threshold: float) -> np.ndarray:
-    batch = _Texts([t.lower() for t in texts])
     similar = np.zeros(len(texts), dtype=bool)
-    for phrase in phrases():
-        matcher = difflib.SequenceMatcher(None, b=phrase)
-        for start in batch.windows_within_reach(phrase, threshold):
-            if not similar[batch.owner[start]]:
-                matcher.set_seq1(batch.text[start:start + len(phrase)])
-                similar[batch.owner[start]] = matcher.ratio() > threshold
+    lower = [t.lower() for t in texts]
+    ends = np.cumsum([len(t) + 1 for t in lower])
+    known, low = sorted(phrases(), key=len), 0
+    while low < len(lower):
+        # A text longer than a batch is one of its own.
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BATCH_CHARS, "right")))
+        batch = _Texts(lower[low:high])
+        for phrase in known:
+            matcher = difflib.SequenceMatcher(None, b=phrase)
+            for start in batch.windows_within_reach(phrase, threshold):
+                owner = low + batch.owner[start]
+                if not similar[owner]:
+                    matcher.set_seq1(batch.text[start:start + len(phrase)])
+                    similar[owner] = matcher.ratio() > threshold
+        low = high
     return similar
 
 
