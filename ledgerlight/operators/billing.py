@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.money import as_col, to_units
+from ledgerlight.functions.patterns import only
 
 # Tag columns in export order, constants of the export frame, name format.
 TAG_COLUMNS = ("team_id", "team_alias", "user_id", "user_email", "api_key_alias", "model", "model_group",
@@ -89,7 +90,7 @@ def resource_name(service: str, provider: Column | str, owner: Column | str, mod
 
 def resource_name_parts(df: DataFrame, column: str) -> DataFrame:
     """Six parts of every valid name; invalid names are left out."""
-    return split_name(df.where(F.col(column).rlike(RESOURCE_NAME)), column)
+    return split_name(only(df, F.col(column).rlike(RESOURCE_NAME)), column)
 
 
 def split_name(df: DataFrame, column: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlight.functions import textnorm as N
-from ledgerlight.functions.patterns import ascii_words
+from ledgerlight.functions.patterns import ascii_words, folded, found
 from ledgerlight.functions.rule_catalog import INJECTION_RULES, InjectionRule
 
 # Scan chunks, bands, phrase parts.
@@ -40,14 +40,14 @@ def matched_rules(docs: DataFrame, doc_id: str, views: Column, rules: Sequence[I
     Views and chunks are exploded, so a very long text is scanned piece by piece;
     the rule tests are literal expressions in one projection.
     """
-    def hit(rule: InjectionRule, chunk: Column) -> Column:
-        return F.when(chunk.rlike(ascii_words(rule.pattern)), F.struct(
+    def hit(rule: InjectionRule) -> Column:
+        return F.when(found(F.col("_chunk"), F.col("_low"), ascii_words(rule.pattern)), F.struct(
             F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.category).alias("category"),
             F.lit(rule.severity).alias("severity"), F.lit(rule.weight).alias("weight")))
 
     pieces = docs.select(doc_id, F.explode(F.array_distinct(views)).alias("_view")).select(
-        doc_id, F.explode(chunks_of(F.col("_view"))).alias("_chunk"))
-    hits = F.array_compact(F.array(*[hit(r, F.col("_chunk")) for r in rules]))
+        doc_id, F.explode(chunks_of(F.col("_view"))).alias("_chunk")).withColumn("_low", folded(F.col("_chunk")))
+    hits = F.array_compact(F.array(*[hit(r) for r in rules]))
     return pieces.select(doc_id, F.explode(hits).alias("r")).select(doc_id, "r.*")
 
 

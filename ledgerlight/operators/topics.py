@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import textnorm as N
-from ledgerlight.functions.patterns import any_of, count_hits, unicode_words
+from ledgerlight.functions.patterns import any_of, count_hits, folded, found, unicode_words
 from ledgerlight.functions.topic_catalog import TOPICS, Topic
 from ledgerlight.operators.lexicon import SEVERITY_ORDER, category_hits, lexicon_table, topic_rows
 
@@ -75,12 +75,14 @@ class Competitors:
 
 def with_meaning(rows: DataFrame, text: str, signals: Signals = Signals()) -> DataFrame:
     """Add meaning (COMPETITOR or OTHER_MEANING) and its confidence for a mention in *text*."""
-    t = F.lower(F.col(text))
+    t, low = F.col("_lower"), F.col("_low")
+    rows = rows.withColumn("_lower", F.lower(F.col(text))).withColumn("_low", folded(F.col("_lower")))
+
     def uni(patterns: Sequence[str]) -> list[str]:
         return [unicode_words(p) for p in patterns]
-    rows = (rows.withColumn("_place", count_hits(t, uni(signals.place))).withColumn("_carrier", count_hits(t, uni(signals.carrier)))
-            .withColumn("_operational", count_hits(t, uni(signals.operational)))
-            .withColumn("_compared", count_hits(t, uni(signals.comparison))))
+    rows = (rows.withColumn("_place", count_hits(t, uni(signals.place), low)).withColumn("_carrier", count_hits(t, uni(signals.carrier), low))
+            .withColumn("_operational", count_hits(t, uni(signals.operational), low))
+            .withColumn("_compared", count_hits(t, uni(signals.comparison), low)))
     total = F.col("_place") + F.col("_carrier")
     place_share, carrier_share = F.col("_place") / total, F.col("_carrier") / total
 
@@ -91,15 +93,15 @@ def with_meaning(rows: DataFrame, text: str, signals: Signals = Signals()) -> Da
         value = confidence if isinstance(confidence, Column) else F.lit(confidence)
         return F.struct(F.lit(meaning).alias("m"), value.alias("c"))
 
-    choice = (F.when(t.rlike(unicode_words(signals.carrier_marker)), verdict("COMPETITOR", 0.85))
-              .when(t.rlike(unicode_words(signals.place_marker)), verdict("OTHER_MEANING", 0.85))
+    choice = (F.when(found(t, low, unicode_words(signals.carrier_marker)), verdict("COMPETITOR", 0.85))
+              .when(found(t, low, unicode_words(signals.place_marker)), verdict("OTHER_MEANING", 0.85))
               .when((F.col("_compared") == 0) & (F.col("_operational") > 0), verdict("OTHER_MEANING", 0.85))
               .when(total == 0, verdict("OTHER_MEANING", 0.5))
               .when(place_share >= 0.6, verdict("OTHER_MEANING", scaled(place_share)))
               .when(carrier_share >= 0.6, verdict("COMPETITOR", scaled(carrier_share)))
               .otherwise(verdict("OTHER_MEANING", 0.5)))
     return (rows.withColumn("_v", choice).withColumn("meaning", F.col("_v.m")).withColumn("meaning_confidence", F.col("_v.c"))
-            .drop("_v", "_place", "_carrier", "_operational", "_compared"))
+            .drop("_v", "_place", "_carrier", "_operational", "_compared", "_lower", "_low"))
 
 
 def competitor_intent(rows: DataFrame, text: str, config: Competitors, compatibility: bool = True) -> DataFrame:

@@ -106,8 +106,10 @@ SELECT resource_id, '{SERVICE}' AS service_type, {component_sql("replace(lower(p
 FROM (SELECT {NAME_SQL} AS resource_id, provider, team_id, model, count(*)::BIGINT AS rows FROM enriched_daily
       WHERE provider IS NOT NULL AND model <> '' GROUP BY ALL)""")
 def resource_name_parts(t: Tables):
-    named = frame(t).withColumn("resource_id", B.resource_name(SERVICE, "custom_llm_provider", "team_id", "model"))
-    return B.resource_name_parts(named.groupBy("resource_id").agg(F.count(F.lit(1)).alias("rows")), "resource_id")
+    # Names are built once for each of their parts, not for every row.
+    parts = frame(t).groupBy("custom_llm_provider", "team_id", "model").agg(F.count(F.lit(1)).alias("rows"))
+    named = parts.withColumn("resource_id", B.resource_name(SERVICE, "custom_llm_provider", "team_id", "model"))
+    return B.resource_name_parts(named.groupBy("resource_id").agg(F.sum("rows").alias("rows")), "resource_id")
 
 
 def metric_rows(t: Tables):
