@@ -50,12 +50,36 @@ class Aggregate:
             if held:
                 yield _frame(held, keys, names)
 
-        def merged(key: tuple, states: pd.DataFrame) -> pd.DataFrame:
-            rows = list(states[names].itertuples(index=False, name=None))
-            return _frame({key: self.finish(self.merge(rows) if len(rows) > 1 else rows[0])}, keys, results)
+        def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[Any, list[tuple]] = {}
 
-        states = rows.select(*dict.fromkeys([*keys, *self.columns])).mapInPandas(partial, f"{head}, {self.state}")
-        return states.groupBy(*keys).applyInPandas(merged, f"{head}, {self.result}")
+            def done(some: dict[Any, list[tuple]]) -> pd.DataFrame:
+                return _frame({k: self.finish(self.merge(x) if len(x) > 1 else x[0]) for k, x in some.items()}, keys, results)
+
+            for batch in batches:
+                if batch.empty:
+                    continue
+                plain = batch.astype(object)
+                # Beside a null pandas makes whole numbers floats.
+                for name in (n for n in whole if batch[n].dtype.kind == "f"):
+                    plain[name] = pd.Series([v if pd.isna(v) else int(v) for v in batch[name]], dtype=object)
+                for row in plain.itertuples(index=False, name=None):
+                    key = tuple(None if pd.isna(k) else k for k in row[:len(keys)])
+                    held.setdefault(key, []).append(row[len(keys):])
+                # Keys come in order, so only the last one may go on.
+                last = {key: held.pop(key)}
+                if held:
+                    yield done(held)
+                held = last
+            if held:
+                yield done(held)
+
+        # States are few bytes but much work for Python, so tasks are counted by cores: sizes would put all into one task.
+        tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+        states = rows.select(*dict.fromkeys([*keys, *self.columns])).repartition(tasks).mapInPandas(partial, f"{head}, {self.state}")
+        whole = [name for name, kind in states.dtypes if kind in ("tinyint", "smallint", "int", "bigint")]
+        ordered = states.repartition(tasks, *keys).sortWithinPartitions(*keys)
+        return ordered.mapInPandas(merged, f"{head}, {self.result}")
 
 
 def _names(schema: str) -> list[str]:
