@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlight.session import fresh_path
 from ledgerlight.sources.adapters import telemetry_view
@@ -39,16 +40,26 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, per_trigger: int
 
 
 def replayed(rows: DataFrame, ts: str, label: str, slices: int = 4, slice_rows: int = 1_000_000) -> DataFrame:
-    """The rows of a table as a stream in several micro-batches, in time order: slices of bounded size, written one after another."""
+    """The rows of a table as a stream in several micro-batches, in time order: slices of bounded size, written one after another.
+
+    The table is dealt to its slices in one pass; the files of the stream are then copied from one slice each, so that their
+    times of change follow the time order.
+    """
     spark = rows.sparkSession
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     count = rows.count()
     slices = max(slices, -(-count // slice_rows))
     edges = rows.agg(F.percentile_approx(micros, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
-    home, edges = fresh_path(spark, label), [None, *sorted(set(edges)), None]
-    for number, (low, high) in enumerate(zip(edges, edges[1:])):
-        part = rows.where(F.lit(True) if low is None else micros >= low).where(F.lit(True) if high is None else micros < high)
-        part.coalesce(1).write.parquet(f"{home}/{number:06d}")
+    home, edges = fresh_path(spark, label), sorted(set(edges))
+    number = F.lit(0)
+    for edge in edges:
+        number = number + (micros >= edge).cast("int")
+    # Rows without a time are in no slice.
+    dealt = fresh_path(spark, f"{label}-dealt")
+    rows.where(micros.isNotNull() | F.lit(not edges)).withColumn("_slice", F.coalesce(number, F.lit(0))).write.partitionBy("_slice").parquet(dealt)
+    for i in range(len(edges) + 1):
+        part = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(dealt).where(F.col("_slice") == i).drop("_slice")
+        part.coalesce(1).write.parquet(f"{home}/{i:06d}")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(home)
 
 
