@@ -216,8 +216,10 @@ SELECT request_id, policy FROM (
  FROM usage_full LEFT JOIN api_keys ON api_key = token LEFT JOIN teams USING (team_id))""")
 def policy_match(t: Tables):
     names = t.keys().select("token", "key_alias", "team_id").join(t.teams().select("team_id", "team_alias"), "team_id", "left")
-    rows = t.usage(with_user=True).select("request_id", "api_key", "model", "request_tags").join(
-        names, F.col("api_key") == F.col("token"), "left")
+    # The stored columns go through the joins; the texts made of them are built behind.
+    lines = t.usage_lines(with_user=True).join(names, F.concat(F.lit("k"), F.col("l_suppkey").cast("string")) == F.col("token"), "left")
+    rows = lines.select(*t.usage_columns(with_user=True), "key_alias", "team_alias").select(
+        "request_id", "model", "request_tags", "key_alias", "team_alias")
     hits = PO.matching_policies(ATTACHMENTS, F.col("team_alias"), F.col("key_alias"), F.col("model"),
                                 F.from_json("request_tags", U.TAGS_TYPE))
     return rows.select("request_id", F.explode(hits).alias("policy"))

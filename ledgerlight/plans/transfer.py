@@ -15,7 +15,7 @@ from ledgerlight.plans.safety import TODAY
 from ledgerlight.session import fresh_path
 from ledgerlight.sources import readers as RD
 from ledgerlight.sources import writers as W
-from ledgerlight.sources.adapters import Tables
+from ledgerlight.sources.adapters import Tables, request_start
 
 
 @query("audit_write", """
@@ -99,7 +99,7 @@ def focus_parquet(t: Tables):
 @query("focus_csv", SUMMARY_SQL)
 def focus_csv(t: Tables):
     path = fresh_path(t.spark, "frame-csv")
-    W.write_frame_csv(B.normalize_frame(frame(t)), path)
+    W.write_frame_csv(B.normalize_frame(frame(t)), path, compression="gzip")
     return billed_by_provider(t.spark.read.option("header", True).csv(path))
 
 
@@ -107,7 +107,7 @@ def focus_csv(t: Tables):
 def export_row_batches(t: Tables):
     """Export split into files of at most 5,000 rows, each with its own header."""
     path = fresh_path(t.spark, "frame-batches")
-    W.write_frame_csv(B.normalize_frame(frame(t)), path, rows_per_file=5000)
+    W.write_frame_csv(B.normalize_frame(frame(t)), path, rows_per_file=5000, compression="gzip")
     back = t.spark.read.option("header", True).csv(path).select("BilledCost", F.col("_metadata.file_name").alias("file"))
     per_file = back.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     return per_file.agg(F.sum("n").alias("rows"), (F.max("n") <= 5000).alias("within_cap"))
@@ -145,7 +145,8 @@ def export_window(t: Tables):
 SELECT CAST(start_time AS DATE) AS date, count(*)::BIGINT AS objects FROM usage_rows GROUP BY 1""")
 def log_object_key(t: Tables):
     path = fresh_path(t.spark, "log-objects")
-    W.write_partitioned(t.usage(), path, "start_time", hourly=False)
+    lines = t.usage_lines().drop("l_tax").withColumn("_start", request_start())
+    W.write_partitioned(lines, path, "_start", hourly=False, columns=t.usage_columns())
     return t.spark.read.parquet(path).groupBy(F.col("date").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("objects"))
 
 

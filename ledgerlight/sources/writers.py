@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +33,10 @@ def decimals_as_double(frame: DataFrame) -> DataFrame:
                           for f in frame.schema.fields])
 
 
-def write_frame_csv(frame: DataFrame, path: str, rows_per_file: int | None = None) -> None:
-    """CSV with a header in every file; decimals are written as doubles.  *rows_per_file* splits the export."""
-    writer = decimals_as_double(frame).write.mode("overwrite").option("header", True)
+def write_frame_csv(frame: DataFrame, path: str, rows_per_file: int | None = None, compression: str = "none") -> None:
+    """CSV with a header in every file; decimals are written as doubles.  *rows_per_file* splits the export, *compression*
+    names a codec for its files (gzip, ...)."""
+    writer = decimals_as_double(frame).write.mode("overwrite").option("header", True).option("compression", compression)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.csv(path)
@@ -79,13 +82,15 @@ def in_window(ts: str, window: ExportWindow, closed: bool = False) -> Column:
 ROWS_PER_FILE, FILES_PER_TASK = 1_000_000, 64
 
 
-def write_partitioned(frame: DataFrame, path: str, ts: str, hourly: bool, window: ExportWindow | None = None, form: str = "parquet") -> None:
-    """Layout date=YYYY-MM-DD[/hour=HH].  The whole log goes to a new path; with a *window* the run writes the rows of that
-    window only and replaces their partitions, all others keep their files.
+def write_partitioned(frame: DataFrame, path: str, ts: str, hourly: bool, window: ExportWindow | None = None, form: str = "parquet",
+                      columns: Sequence[Column] | None = None) -> None:
+    """Layout date=YYYY-MM-DD[/hour=HH].  With a *window* the run writes the rows of that window only.  A run into a path that
+    exists replaces the partitions of its rows, all others keep their files.
 
     Partitions are counted first.  A quiet hour is one file, a day with a third of all rows is cut into files of about
     ROWS_PER_FILE rows and written by many tasks; a task gets a bounded number of files and rows, so many small partitions
-    are spread over all cores although they are few bytes.
+    are spread over all cores although they are few bytes.  *columns* are what is written, made of the frame's columns (all
+    of them by default) behind the shuffle.
     """
     if window is not None:
         frame = frame.where(in_window(ts, window))
@@ -100,12 +105,17 @@ def write_partitioned(frame: DataFrame, path: str, ts: str, hourly: bool, window
     large = counted.where("_parts > 1").select(*keys, "_parts")
     salt = F.pmod(F.xxhash64(*frame.columns), F.coalesce("_parts", F.lit(1))).alias("_salt")
     rows = rows.join(large, keys, "left").select(*frame.columns, *keys, salt).repartition(tasks, *keys, "_salt").drop("_salt")
+    writer = rows.select(*(columns or frame.columns), *keys).write.partitionBy(*keys).format(form)
     if window is None:
-        # Tasks move their own files into place; the path is new, so a failed run leaves nothing that a reader knows of.
-        writer = rows.write.mode("errorifexists").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    else:
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*keys).format(form).save(path)
+        try:
+            # Tasks move their own files into place; the path is new, so a failed run leaves nothing that a reader knows of.
+            writer.mode("errorifexists").option("mapreduce.fileoutputcommitter.algorithm.version", "2").save(path)
+            return
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+        writer = rows.select(*(columns or frame.columns), *keys).write.partitionBy(*keys).format(form)
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").save(path)
 
 
 def message_rows(frame: DataFrame, key: str) -> DataFrame:
