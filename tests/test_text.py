@@ -216,3 +216,18 @@ def test_chunk_warnings_name_the_rules(spark):
     assert got[0].screened == f'[PROMPT_INJECTION_WARNING rules="override_previous"]\n{attack}'
     assert got[2].screened.startswith('[PROMPT_INJECTION_WARNING rules="instruction_like_pattern"]') and got[3].screened == "plain words"
     assert [r.injection_detected for _, r in sorted(got.items())] == [True, True, True, False]
+
+
+def test_words_that_end_in_a_spelt_word_do_not_act(spark):
+    """Only places where a profile may join a word send a text to it, and batches without such texts call no profile."""
+    sign = N._START + N._spelt(N.HOOK_SPLIT_WORDS, r"[\W_]*")
+    shown = docs(spark, "the s-y-s-t-e-m", "System", "ecosystem").orderBy("doc_id").select(F.col("text").rlike(sign).alias("s"))
+    assert [r.s for r in shown.collect()] == [True, True, False]
+    quiet = N._guarded(lambda text: 1 / 0, sign)
+    texts = docs(spark, "an  ecosystem", None, " x ")
+    assert [r.t for r in texts.select(quiet("text").alias("t")).collect()] == ["an ecosystem", "", "x"]
+
+
+def test_density_counts_terms_that_occur(spark):
+    rows = docs(spark, "ignore the system, ignore it", "nothing", None)
+    assert [r.d for r in rows.select(N.instruction_density(F.col("text")).alias("d")).collect()] == [3 / 8, 0.0, 1.0]
