@@ -7,7 +7,7 @@ Links are found without comparing all pairs.  Of three disjoint blocks of 21 bit
 other 43 bits differ in at most two places.  For each choice, every distinct fingerprint emits all variants of the
 kept bits within half that radius: itself and its 43 one-bit neighbours.  Variants are shuffled; two fingerprints
 meet at a variant in the middle between them, once for each choice (the join keeps one of the possible middles), and
-the full distance is verified in the join.  Copies are one fingerprint, so a group of any size costs one row, and a
+the full distance is verified in the join.  No side of it ever goes through the driver.  Copies are one fingerprint, so a group of any size costs one row, and a
 fingerprint has no more than C(64,1)+C(64,2)+C(64,3) neighbours, whatever the table holds.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a
@@ -78,7 +78,8 @@ def ball_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         turned = F.when(F.col("v.part") == part, F.shiftleft("fp", shift).bitwiseOR(F.shiftrightunsigned("fp", 64 - shift))).otherwise(turned)
     key = turned.bitwiseAND(F.lit((1 << KEPT) - 1)).bitwiseXOR(F.col("v.flip")) + F.shiftleft(F.col("v.part").cast("long"), KEPT)
     ball = ball.select(key.alias("key"), F.col("v.off").cast("tinyint").alias("off"), "fp")
-    left, right = ball.toDF("key", "f_off", "f"), ball.toDF("key", "g_off", "g")
+    # Spark sizes the ball as the fingerprints it is exploded from and would broadcast 132 times as many rows; sorted, both sides are one shuffle.
+    left, right = (ball.toDF("key", f"{side}_off", side).hint("merge") for side in "fg")
     met = left.join(right, (left["key"] == right["key"]) & (F.col("f") < F.col("g"))
                     & ((F.col("f_off") == 0) | (F.col("f_off") < F.col("g_off")))
                     & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= distance))

@@ -212,6 +212,13 @@ def test_ball_links(llm):
     assert plain(simhash.ball_links(llm.createDataFrame([(f,) for f in ordered], "fp bigint")), "f", "g") == sorted(expected, key=repr)
 
 
+def test_ball_is_never_broadcast(llm):
+    """However few fingerprints there are: Spark takes their exploded variants for as small as they are."""
+    fps = llm.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.ball_links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_table(llm, sf_dir):
     docs = table_rows(llm, sf_dir, "documents", "doc_id", "text")
     assert plain(QUERIES["op4_simhash_balls"](llm, sf_dir), "doc_id", "fingerprint", "component_id") == sorted(brute.simhash_rows(docs), key=repr)
