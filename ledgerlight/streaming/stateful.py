@@ -1,6 +1,6 @@
 """Streams with state of their own: cool-downs, bursts, session spend, redaction across chunks.
 
-Each job keeps one small state per key and frees it by a timer once the key has been silent for so long that the state
+Each job keeps one small state per key (spend: per bucket of keys) and frees it by a timer once the key has been silent for so long that the state
 cannot matter any more (redaction: with the last chunk).  Rows are handled one at a time, in event order within a micro-batch; of a micro-batch's rows a key
 holds only the few numbers it needs, and the trigger options of the source bound the micro-batch.
 """
@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlight.operators.dlp import _candidates, _resolve
@@ -24,6 +25,8 @@ HOLD_BACK, HOLD_BACK_MIN, HOLD_BACK_MAX = 256, 128, 512
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Silence after which a session's spend is given up.
 SESSION_SILENCE_S = 7 * 86_400
+# Buckets that sessions are dealt to: no more tasks than these have work, and each holds the state of so many parts of the sessions.
+BUCKETS = 256
 
 
 def in_event_order(frames: Iterable[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
@@ -118,35 +121,90 @@ class Bursts(Expiring):
             yield pd.DataFrame({self.key: [key[0]] * len(fired), "request_id": [r for r, _ in fired], "failures": [n for _, n in fired]})
 
 
-class Spend(Expiring):
-    """State: units spent so far."""
+class Spend(StatefulProcessor):
+    """State: units spent so far and time of the newest row of every session of a bucket.
 
-    schema = "units bigint"
+    A call for each session costs more than its few rows do, so a bucket's sessions are handled together, in arrays.  Its state
+    is read and written whole; its timer is the one of the session that has been silent for longest, or an earlier one.
+    """
 
-    def __init__(self, key: str, silence: int, limit: int):
-        super().__init__(key, silence)
-        self.limit = limit
+    def __init__(self, key: str, kind: str, silence: int, limit: int):
+        self.key, self.silence, self.limit = key, silence, limit
+        self.schema = f"sessions array<{kind}>, units array<bigint>, newest array<bigint>, due bigint"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        total, out = self.state.get()[0] if self.state.exists() else 0, []
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        for at, request, units in in_event_order(rows, ["units"]):
-            # Rows of a micro-batch come before its timers, so a silence may show here first.
-            if newest is not None and at - newest > self.silence:
-                total = 0
-            out.append((request, total))
-            total, newest = total + max(0, int(units)), max(at, newest or at)
-        if newest is not None:
-            self.state.update((total,))
-            self.later(newest)
-        yield pd.DataFrame({self.key: [key[0]] * len(out), "request_id": [r for r, _ in out], "units_before": [n for _, n in out], "over_budget": [n >= self.limit for _, n in out]})
+        rows = pd.concat(list(rows), ignore_index=True)
+        # Rows without a session have a bucket to themselves.
+        codes, sessions = (np.zeros(len(rows), np.int64), [None]) if key[0] < 0 else pd.factorize(rows[self.key])
+        sessions = sessions if key[0] < 0 else sessions.tolist()
+        at = rows["created_at"].astype("datetime64[us]").astype("int64").to_numpy()
+        request, units = rows["request_id"].to_numpy(), np.maximum(rows["units"].to_numpy(), 0).astype(np.int64)
+        order = np.lexsort((request, at, codes))
+        codes, at, request, units = codes[order], at[order], request[order], units[order]
+
+        kept, due = self.read()
+        held = [kept.get(x) for x in sessions]
+        known = np.array([x is not None for x in held])[codes]
+        spent, newest = (np.array([x[i] if x else 0 for x in held], np.int64)[codes] for i in range(2))
+        first = np.r_[True, codes[1:] != codes[:-1]]
+        # Rows of a micro-batch come before its timers, so a silence may show here first.
+        before = np.where(first, newest, np.where(known, np.maximum(newest, np.r_[0, at[:-1]]), np.r_[0, at[:-1]]))
+        starts = first | (at - before > self.silence)
+        carried = first & known & (at - before <= self.silence)
+        start = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+        sums = np.cumsum(units) - units
+        total = sums - sums[start] + np.where(carried, spent, 0)[start]
+
+        last = np.r_[first[1:], True]
+        ends = np.where(known, np.maximum(at, newest), at)[last]
+        kept.update(zip((sessions[c] for c in codes[last].tolist()), zip((total + units)[last].tolist(), ends.tolist())))
+        self.write(kept, due)
+        own = rows[self.key].to_numpy()[order] if sessions != [None] else np.full(len(order), None)
+        yield pd.DataFrame({self.key: own, "request_id": request, "units_before": total, "over_budget": total >= self.limit})
+
+    def read(self) -> tuple[dict, int | None]:
+        """(units, newest) by session, and the time of the timer."""
+        found = self.state.get()
+        if found is None:
+            return {}, None
+        sessions, units, newest, due = found
+        return dict(zip(sessions, zip(units, newest))), due
+
+    def write(self, kept: dict, due: int | None) -> None:
+        """Keep the sessions; *due* is the time of a timer that has not fired."""
+        if not kept:
+            self.state.clear()
+            return
+        earliest = self.due(min(newest for _, newest in kept.values()))
+        if due is None or earliest < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(earliest)
+            due = earliest
+        units, newest = zip(*kept.values())
+        self.state.update((list(kept), list(units), list(newest), due))
 
+    def due(self, micros: int) -> int:
+        return (micros + self.silence) // 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        self.write({x: state for x, state in self.read()[0].items() if self.due(state[1]) > now}, None)
+        return iter(())
 
-def with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "eventTime") -> DataFrame:
-    """Append-mode output of a processor; state lives in RocksDB, changelogs in the checkpoint folder."""
+    def close(self) -> None:
+        pass
+
+
+def with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "eventTime", keyed: bool = True) -> DataFrame:
+    """Append-mode output of a processor, with the key before it if *keyed*; state lives in RocksDB, changelogs in the checkpoint folder."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     kind = dict(rows.dtypes)[key]
-    return rows.groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, {schema}", "append", mode)
+    return rows.groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, {schema}" if keyed else schema, "append", mode)
 
 
 def timed(rows: DataFrame, delay: str = WATERMARK) -> DataFrame:
@@ -166,12 +224,20 @@ def failure_alerts(rows: DataFrame, key: str, seconds: int, threshold: int) -> D
     return with_state(timed(rows), key, Bursts(key, seconds * 1_000_000, threshold), "request_id bigint, failures bigint")
 
 
-def session_spend(rows: DataFrame, key: str, limit_units: int, silence_seconds: int = SESSION_SILENCE_S) -> DataFrame:
+def session_spend(rows: DataFrame, key: str, limit_units: int, silence_seconds: int = SESSION_SILENCE_S, buckets: int = BUCKETS) -> DataFrame:
     """Spend before every request of a session, in units, and whether it had reached the limit.
 
     A session that is silent for *silence_seconds* (7 days) beyond the watermark has ended; a later request starts at zero.
+    Rows without a session are one session, rows without units spend nothing.
     """
-    return with_state(timed(rows), key, Spend(key, silence_seconds * 1_000_000, limit_units), "request_id bigint, units_before bigint, over_budget boolean")
+    kind = dict(rows.dtypes)[key]
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    dealt = timed(rows).withColumn("units", F.coalesce("units", F.lit(0))).withColumn("_bucket", bucket)
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        # One null would make floating-point numbers of all keys of an Arrow batch; the bucket tells which are null.
+        dealt = dealt.withColumn(key, F.coalesce(key, F.lit(0).cast(kind)))
+    return with_state(dealt, "_bucket", Spend(key, kind, silence_seconds * 1_000_000, limit_units),
+                      f"{key} {kind}, request_id bigint, units_before bigint, over_budget boolean", keyed=False)
 
 
 def safe_cut(length: int, spans: list[tuple], hold_back: int) -> int:

@@ -3,8 +3,11 @@
 import datetime as dt
 import glob
 import os
+import random
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -148,6 +151,70 @@ def test_spend_of_a_silent_session_starts_anew(spark, tmp_path):
     assert {r.request_id: (r.units_before, r.over_budget) for r in out} == {1: (0, False), 2: (5, False), 3: (0, False), 4: (0, False), 5: (2, False)}
 
 
+def test_spend_keeps_state_by_bucket(spark, tmp_path):
+    """State and calls follow the buckets, not the sessions; the results are those of a sequential pass."""
+    draw = random.Random(5)
+    at = lambda seconds: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
+    names = [None, *range(10**17, 10**17 + 1500)]
+    rows = [(draw.choice(names) if i % 9 else None, i, at(40 * i + draw.randrange(30)), draw.choice([None, -3, 0, 2, 7]), i // 1000) for i in range(4000)]
+    rows += [(10**17, 5000, at(0), 5, 0), (10**17, 5000, at(0), 5, 0)]
+    rows.sort(key=lambda r: r[-1])
+    stream = in_parts(spark, tmp_path, rows, "key bigint, request_id bigint, created_at timestamp, units bigint")
+    kept, out = states(ST.session_spend(stream, "key", 10, silence_seconds=30_000), tmp_path)
+    totals, newest, expected = {}, {}, []
+    for key, request, moment, units, _ in sorted(rows, key=lambda r: (r[-1], r[2], r[1])):
+        if key in newest and moment - newest[key] > dt.timedelta(seconds=30_000):
+            totals[key] = 0
+        expected.append((key, request, totals.get(key, 0), totals.get(key, 0) >= 10))
+        totals[key], newest[key] = totals.get(key, 0) + max(0, units or 0), moment
+    got = Counter(tuple(r) for r in out)
+    assert (Counter(expected) - got, got - Counter(expected)) == (Counter(), Counter())
+    assert 0 < max(kept) <= 4 * (ST.BUCKETS + 1)
+
+
+class FakeState:
+    """State of one key and its timers, in memory."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_silent_sessions_leave_their_bucket():
+    held, clock = FakeState(), type("T", (), {"getCurrentWatermarkInMs": lambda self: self.now, "getExpiryTimeInMs": lambda self: self.now})()
+    spend = ST.Spend("key", "string", 60_000_000, 10)
+    spend.init(held)
+    feed = lambda *rows: [tuple(r) for f in spend.handleInputRows((3,), iter([pd.DataFrame(
+        [(k, i, pd.Timestamp(s, unit="s"), u) for k, i, s, u in rows], columns=["key", "request_id", "created_at", "units"])]), clock) for r in f.itertuples(index=False)]
+    assert feed(("a", 1, 0, 4), ("b", 2, 10, 5), ("a", 3, 20, 7)) == [("a", 1, 0, False), ("a", 3, 4, False), ("b", 2, 0, False)]
+    assert held.timers == {70_001}
+    assert feed(("b", 4, 30, 1), ("c", 5, 5, 1)) == [("b", 4, 5, False), ("c", 5, 0, False)]
+    assert held.timers == {65_001}
+    held.timers.clear()
+    clock.now = 66_000
+    assert list(spend.handleExpiredTimer((3,), clock, clock)) == []
+    assert held.value[0] == ["a", "b"] and held.timers == {80_001}
+    assert feed(("a", 6, 70, 1), ("a", 7, 140, 1)) == [("a", 6, 11, True), ("a", 7, 0, False)]
+    held.timers.clear()
+    clock.now = 90_001
+    assert list(spend.handleExpiredTimer((3,), clock, clock)) == [] and held.value[0] == ["a"]
+    held.timers.clear()
+    clock.now = 300_000
+    assert list(spend.handleExpiredTimer((3,), clock, clock)) == [] and held.value is None and not held.timers
+
+
 def test_findings_of_chunks(spark, tmp_path):
     text = "words " * 60 + "card 4111 1111 1111 1111 and mail someone@example.com " + "tail " * 80
     pieces = [text[i:i + 37] for i in range(0, len(text), 37)]
